@@ -24,7 +24,15 @@ def phrase_regex(phrase: str) -> str:
 
 
 def any_phrase(phrases: Iterable[str]) -> str:
-    return "|".join(phrase_regex(p) for p in phrases)
+    return one_of(phrase_regex(p) for p in phrases)
+
+
+def one_of(patterns: Iterable[str]) -> str:
+    """Several regexes as one; those that start at a word boundary share it."""
+    patterns = list(patterns)
+    at_word = [p[2:] for p in patterns if p.startswith(r"\b")]
+    rest = [p for p in patterns if not p.startswith(r"\b")]
+    return "|".join(([r"\b(?:" + "|".join(at_word) + ")"] if at_word else []) + rest)
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:

@@ -4,15 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, strip, title
+from ..functions.text import strip, title
 from ..rules import statements as R
 
 
-def _is_check(desc: Column) -> Column:
-    starts = F.lit(False)
-    for p in R.CHECK_STARTS:
-        starts = starts | desc.startswith(p)
-    return starts | desc.rlike(r"^\s*CHECK\s+\d+\b")
+_CHECK = r"^\s*CHECK\s+\d+\b|^(?:" + "|".join(R.CHECK_STARTS) + ")"
 
 
 def check_payee_visible(desc: Column) -> Column:
@@ -38,9 +34,9 @@ def transaction_type(description: Column, amount: Column) -> Column:
     desc = strip(F.upper(description))
     kind = F.when(F.coalesce(description, F.lit("")) == "", "unknown")
     for name, words in _FAMILIES:
-        kind = kind.when(contains_any(desc, words), name)
+        kind = kind.when(desc.rlike("|".join(words)), name)
     return (
-        kind.when(_is_check(desc), F.when(check_payee_visible(desc), "check").otherwise("check_unverified"))
+        kind.when(desc.rlike(_CHECK), F.when(check_payee_visible(desc), "check").otherwise("check_unverified"))
         .when(amount > 0, "vendor_payment")
         .otherwise("unknown")
     )

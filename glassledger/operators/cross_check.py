@@ -81,7 +81,7 @@ def crossing_reasons(vendors: DataFrame, matches: DataFrame) -> DataFrame:
 
 def _scale(amount: Column) -> Column:
     """Power of five the amount lies in: a ratio above five spans at least one step."""
-    return F.floor(F.log(F.lit(R.MISMATCH_RATIO), amount.cast("double"))).cast("int")
+    return F.floor(F.log(R.MISMATCH_RATIO, amount.cast("double"))).cast("int")
 
 
 def amount_mismatches(vendors: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def amount_mismatches(vendors: DataFrame) -> DataFrame:
     # powers a vendor has, with the parts each is dealt over: a short list (powers of five of an amount)
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
     powers = sizes.withColumn("parts", parts)
-    low = rows.join(powers, ["canonical_name", "p"]).withColumn("lo_part", F.pmod(F.xxhash64("statement"), F.col("parts")))
+    low = rows.join(powers, ["canonical_name", "p"]).withColumn("lo_part", F.pmod(F.xxhash64("statement"), F.col("parts").cast("long")))
     blocks = powers.alias("h").join(
         powers.alias("l"),
         (F.col("h.canonical_name") == F.col("l.canonical_name")) & (F.col("h.p") > F.col("l.p")),
@@ -111,7 +111,7 @@ def amount_mismatches(vendors: DataFrame) -> DataFrame:
         rows.where(F.col("total_amount") > R.MISMATCH_GAP)
         .withColumnRenamed("p", "hp")
         .join(blocks, ["canonical_name", "hp"])
-        .withColumn("lo_part", F.explode(F.sequence(F.lit(0), F.col("lo_parts") - 1)).cast("long"))
+        .withColumn("lo_part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("lo_parts") - 1).cast("long"))))
         .select("canonical_name", "lp", "lo_part", F.struct("statement_key", "statement", "total_amount").alias("hi"))
     )
     low = low.select("canonical_name", F.col("p").alias("lp"), "lo_part",

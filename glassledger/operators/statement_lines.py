@@ -77,26 +77,22 @@ def extraction_confidence(rows: Column, doc_type: Column) -> Column:
     return F.when(F.coalesce(rows, F.lit(0)) == 0, 0.0).otherwise(lifted)
 
 
+def _box_hits(text: Column, box: str) -> Column:
+    """All finds of one box: its label, the words read and the figure in them."""
+    regex, label = F.lit("(?i)" + R.TAX_BOXES[box]), F.lit(title(box.replace("_", " ")))
+    finds = F.arrays_zip(
+        F.regexp_extract_all(text, regex, F.lit(0)).alias("whole"), F.regexp_extract_all(text, regex, F.lit(1)).alias("figure")
+    )
+    return F.transform(finds, lambda h: F.struct(label.alias("label"), h["whole"].alias("whole"), h["figure"].alias("figure")))
+
+
 def tax_form_amounts(docs: DataFrame, keys: list[str], text: str = "text", doc_type: str = "document_type") -> DataFrame:
     """Every positive box amount of tax-form texts, with the words it was read from."""
-    boxes = []
-    for kind, labels in R.TAX_BOXES_OF.items():
-        for n, label in enumerate(labels):
-            regex = F.lit("(?i)" + R.TAX_BOXES[label])
-            hits = F.arrays_zip(
-                F.regexp_extract_all(F.col(text), regex, F.lit(0)).alias("whole"),
-                F.regexp_extract_all(F.col(text), regex, F.lit(1)).alias("figure"),
-            )
-            shown = title(label.replace("_", " "))
-            boxes.append(
-                F.when(
-                    F.col(doc_type) == kind,
-                    F.transform(hits, lambda h, shown=shown, n=n: F.struct(
-                        F.lit(n).alias("box_no"), F.lit(shown).alias("label"), h["whole"].alias("whole"),
-                        h["figure"].alias("figure"))),
-                )
-            )
-    rows = docs.withColumn("_hits", F.coalesce(*boxes_by_kind(boxes))).select(
+    hits = F.coalesce(*[
+        F.when(F.col(doc_type) == kind, F.concat(*[_box_hits(F.col(text), box) for box in boxes]))
+        for kind, boxes in R.TAX_BOXES_OF.items()
+    ])
+    rows = docs.withColumn("_hits", hits).select(
         *keys, F.col(doc_type).alias("source"), F.posexplode("_hits").alias("line_no", "_h")
     )
     amount = parse_amount(F.col("_h")["figure"])
@@ -107,16 +103,6 @@ def tax_form_amounts(docs: DataFrame, keys: list[str], text: str = "text", doc_t
     )
 
 
-def boxes_by_kind(boxes: list[Column]) -> list[Column]:
-    """Joins the hit lists of a document type that has several boxes."""
-    out, at = [], 0
-    for labels in R.TAX_BOXES_OF.values():
-        part = boxes[at : at + len(labels)]
-        at += len(labels)
-        out.append(part[0] if len(part) == 1 else F.concat(*part))
-    return out
-
-
 # --- tables of cells --------------------------------------------------------------
 
 

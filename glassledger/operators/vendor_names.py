@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import common_character_bound, ratio
-from ..functions.text import squeeze, strip
+from ..functions.text import one_of, squeeze, strip
 from ..plans.joins import join_summary, measure_keys
 from ..rules import vendors as R
 
@@ -45,6 +45,11 @@ def reason_of(pattern: str) -> str:
     return f"deposit/transfer: {shown[:R.REASON_WIDTH]}"
 
 
+def is_non_vendor(raw: Column) -> Column:
+    """One look for all exclusion patterns together."""
+    return strip(raw).rlike(R.EMBEDDED_AMOUNT) | F.upper(raw).rlike(one_of(R.NON_VENDOR))
+
+
 def non_vendor_reason(raw: Column) -> Column:
     """Why a text is no vendor; null when it may be one."""
     out = F.when(strip(raw).rlike(R.EMBEDDED_AMOUNT), "embedded_amount")
@@ -54,10 +59,11 @@ def non_vendor_reason(raw: Column) -> Column:
 
 
 def strip_noise(raw: Column, profile: Profile = CONSOLIDATED) -> Column:
-    s = strip(F.upper(raw))
+    s = upper = strip(F.upper(raw))
     for p in profile.noise:
         s = F.regexp_replace(s, p, " ")
-    return squeeze(s)
+    # most names hold no noise at all and need one look only
+    return squeeze(F.when(upper.rlike(one_of(profile.noise)), s).otherwise(upper))
 
 
 def suffix_regex(profile: Profile = CONSOLIDATED) -> str:
@@ -112,11 +118,11 @@ def nearest_in_list(
     left = names.select(
         "bare_name",
         F.pmod(F.xxhash64("bare_name"), F.lit(nb)).alias("nb"),
-        F.explode(F.sequence(F.lit(0), F.lit(lb - 1))).cast("long").alias("lb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lb - 1).cast("long"))).alias("lb"),
     )
     right = entries.select(
         "pos", "name", "entry",
-        F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).cast("long").alias("nb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("nb"),
         F.pmod(F.xxhash64("pos", "name"), F.lit(lb)).alias("lb"),
     )
 
@@ -172,12 +178,15 @@ def normalise_vendors(
     """
     p = PROFILES[profile]
     name = preclean(F.col(raw)) if preclean_first else F.coalesce(F.col(raw), F.lit(""))
-    reason = non_vendor_reason(F.col("raw_name")) if p.exclude else F.lit(None).cast("string")
+    out = F.col("norm_excluded")
     df = df.withColumn("raw_name", name).withColumns(
-        {"norm_reason": reason, "cleaned_name": strip_noise(F.col("raw_name"), p)}
+        {
+            "norm_excluded": is_non_vendor(F.col("raw_name")) if p.exclude else F.lit(False),
+            "cleaned_name": strip_noise(F.col("raw_name"), p),
+        }
     )
+    df = df.withColumn("norm_reason", F.when(out, non_vendor_reason(F.col("raw_name"))).otherwise(""))
     df = df.withColumns({"_bare": without_suffix(F.col("cleaned_name"), p), "_type": entity_type(F.col("cleaned_name"), p)})
-    out = F.col("norm_reason").isNotNull()
     if vendor_list is None:
         df = df.withColumns({"_match": F.lit(None).cast("string"), "_score": F.lit(1.0), "_shown": F.lit(1.0)})
         listed = F.lit(False)
@@ -207,7 +216,5 @@ def normalise_vendors(
             "match_confidence": F.when(out, 0.0).otherwise(F.col("_shown")),
             "needs_review": ~out & (short | (listed & (F.col("_score") < review_threshold))),
             "cleaned_name": F.when(out, F.col("raw_name")).otherwise(F.col("cleaned_name")),
-            "norm_excluded": out,
-            "norm_reason": F.coalesce("norm_reason", F.lit("")),
         }
     ).drop("_bare", "_type", "_match", "_score", "_shown")

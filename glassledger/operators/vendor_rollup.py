@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import any_phrase, contains_any, dollars, percent
 from ..rules import eligibility as E
 from ..rules import vendors as R
+from .vendor_names import normalise_vendors, preclean
 
 LOW_MATCH = "Low vendor name match confidence"
 CLASSIFIER_REVIEW = (
@@ -20,40 +21,33 @@ def countable_rows(df: DataFrame) -> DataFrame:
     return df.where(~F.col("norm_excluded") & F.coalesce(F.col("include_for_1099"), F.lit(True)))
 
 
-def roll_up_vendors(
-    df: DataFrame, keys: list[str] | None = None, profile: str = "consolidated", with_variants: bool = False
-) -> DataFrame:
-    """One row per vendor (within ``keys``, e.g. per statement).
+def _order(df: DataFrame) -> Column:
+    return F.struct("statement", "line_no") if "statement" in df.columns else F.struct("line_no")
 
-    Rows are first summed per raw spelling, which spreads a hot vendor over many
-    groups; only those partial sums meet per vendor. First and last payment are
-    the least and greatest date *text*, as printed; ``first_paid_on`` and
-    ``last_paid_on`` are true dates. ``line_no`` (after ``statement``) decides
-    which entity type is seen first. The list of spellings is built on request
-    only; its length is always there.
-    """
-    keys = list(keys or [])
-    gated = profile == "consolidated"
-    rows = countable_rows(df) if gated else df
+
+def sum_spellings(rows: DataFrame, keys: list[str], names: list[str], gated: bool) -> DataFrame:
+    """Totals per raw spelling; ``names`` are further columns the spelling decides."""
     text = F.nullif(F.col("date_raw"), F.lit(""))
     day = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("M/d/yyyy", "M/d/yy", "yyyy-M-d")]).cast("date")
-    order = F.struct("statement", "line_no") if "statement" in df.columns else F.struct("line_no")
-    review = F.coalesce(F.col("review_required"), F.lit(False)) if gated and "review_required" in df.columns else F.lit(False)
-    spelled = rows.groupBy(*keys, "canonical_name", "raw_name").agg(
+    review = F.coalesce(F.col("review_required"), F.lit(False)) if gated and "review_required" in rows.columns else F.lit(False)
+    rows = rows.withColumns({"_day": day, "_order": _order(rows), "_review": review})
+    return rows.groupBy(*keys, "raw_name", *names).agg(
         F.sum("amount").alias("total"),
         F.count("*").alias("n"),
         F.min(text).alias("first"),
         F.max(text).alias("last"),
-        F.min(day).alias("first_on"),
-        F.max(day).alias("last_on"),
-        F.min("match_confidence").alias("conf"),
-        F.bool_or("needs_review").alias("name_review"),
-        F.bool_or(review).alias("row_review"),
-        F.min(F.when(F.col("entity_type").isNotNull(), F.struct(order.alias("o"), F.col("entity_type").alias("e")))).alias("ent"),
-        F.min(order).alias("seen"),
+        F.min("_day").alias("first_on"),
+        F.max("_day").alias("last_on"),
+        F.bool_or("_review").alias("row_review"),
+        F.min("_order").alias("seen"),
     )
+
+
+def sum_vendors(spelled: DataFrame, keys: list[str], with_variants: bool = False) -> DataFrame:
+    """Vendor rows from the totals of their spellings."""
+    entity = F.struct(F.col("seen").alias("o"), F.col("entity_type").alias("e"))
     aggs = [
-        F.min("ent")["e"].alias("entity_type"),
+        F.min(F.when(F.col("entity_type").isNotNull(), entity))["e"].alias("entity_type"),
         F.sum("total").cast("decimal(18,2)").alias("total_amount"),
         F.sum("n").alias("transaction_count"),
         F.min("first").alias("first_payment_date"),
@@ -61,8 +55,8 @@ def roll_up_vendors(
         F.min("first_on").alias("first_paid_on"),
         F.max("last_on").alias("last_paid_on"),
         F.count("*").alias("variant_count"),
-        F.bround(F.min("conf"), 2).alias("match_confidence"),
-        F.bool_or("name_review").alias("_name_review"),
+        F.min("match_confidence").alias("match_confidence"),
+        F.bool_or("needs_review").alias("_name_review"),
         F.bool_or("row_review").alias("_row_review"),
         F.min("seen").alias("first_seen"),
     ]
@@ -82,6 +76,43 @@ def roll_up_vendors(
     ).drop("_name_review", "_row_review")
 
 
+_NAME_COLUMNS = ["canonical_name", "entity_type", "match_confidence", "needs_review"]
+
+
+def roll_up_vendors(
+    df: DataFrame, keys: list[str] | None = None, profile: str = "consolidated", with_variants: bool = False
+) -> DataFrame:
+    """One row per vendor (within ``keys``, e.g. per statement) of normalised rows.
+
+    Rows are first summed per raw spelling, which spreads a hot vendor over many
+    groups; only those partial sums meet per vendor. First and last payment are
+    the least and greatest date *text*, as printed; ``first_paid_on`` and
+    ``last_paid_on`` are true dates. ``line_no`` (after ``statement``) decides
+    which entity type is seen first. The list of spellings is built on request
+    only; its length is always there.
+    """
+    keys, gated = list(keys or []), profile == "consolidated"
+    rows = countable_rows(df) if gated else df
+    return sum_vendors(sum_spellings(rows, keys, _NAME_COLUMNS, gated), keys, with_variants)
+
+
+def roll_up_descriptions(
+    df: DataFrame, keys: list[str] | None = None, vendor_list: DataFrame | None = None, profile: str = "consolidated",
+    with_variants: bool = False,
+) -> DataFrame:
+    """The same rows as ``roll_up_vendors`` of ``normalise_vendors``, from plain statement rows.
+
+    Rows are summed per spelling before any name rule runs, so the rules see each
+    spelling once rather than each row.
+    """
+    keys, gated = list(keys or []), profile == "consolidated"
+    rows = df.where(F.coalesce(F.col("include_for_1099"), F.lit(True))) if gated else df
+    raw = preclean(F.col("description")) if gated else F.coalesce("description", F.lit(""))
+    spelled = sum_spellings(rows.withColumn("raw_name", raw), keys, [], gated)
+    named = normalise_vendors(spelled, vendor_list, profile, raw="raw_name", preclean_first=False)
+    return sum_vendors(named.where(~F.col("norm_excluded")), keys, with_variants)
+
+
 def vendor_variants(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The raw spellings behind each vendor, as rows."""
     return countable_rows(df).select(*(keys or []), "canonical_name", "raw_name").distinct()

@@ -37,9 +37,9 @@ def normalised_rows(rows: DataFrame, vendor_list: DataFrame | None = None) -> Da
     return normalise_vendors(fill_defaults(rows), vendor_list)
 
 
-def statement_vendors(rows: DataFrame) -> DataFrame:
+def statement_vendors(rows: DataFrame, vendor_list: DataFrame | None = None) -> DataFrame:
     """Per statement and vendor: totals, eligibility and the order keys."""
-    v = V.classify_1099(V.roll_up_vendors(rows, ["statement"]))
+    v = V.classify_1099(V.roll_up_descriptions(fill_defaults(rows), ["statement"], vendor_list))
     return X.rank_vendors(v.withColumn("statement_key", F.col("statement")))
 
 
@@ -49,8 +49,7 @@ def consolidate(rows: DataFrame, vendor_list: DataFrame | None = None, with_vari
     The per-statement rollup is used by every finding; on a cluster keep it as a
     table or persist ``good`` when several findings are wanted.
     """
-    norm = normalised_rows(rows, vendor_list)
-    vendors = statement_vendors(norm)
+    vendors = statement_vendors(rows, vendor_list)
     good = X.enough_statements(vendors)
     matches = X.cross_matches(good)
     mismatches = X.amount_mismatches(good)
@@ -62,7 +61,7 @@ def consolidate(rows: DataFrame, vendor_list: DataFrame | None = None, with_vari
     else:
         variants = None
     return Consolidation(
-        rows=norm,
+        rows=normalised_rows(rows, vendor_list),
         vendors=vendors,
         good=good,
         reasons=flags.merge_reasons(parts),
@@ -70,5 +69,5 @@ def consolidate(rows: DataFrame, vendor_list: DataFrame | None = None, with_vari
         mismatches=mismatches,
         variants=variants,
         near_threshold=X.near_threshold_vendors(good, matches),
-        pooled=V.classify_1099(V.roll_up_vendors(norm)),
+        pooled=V.classify_1099(V.roll_up_descriptions(fill_defaults(rows), vendor_list=vendor_list)),
     )
