@@ -32,6 +32,9 @@ class Consolidation:
     near_threshold: DataFrame
     pooled: DataFrame  # per vendor over all statements, with eligibility
 
+    def close(self) -> None:
+        self.vendors.unpersist()
+
 
 def normalised_rows(rows: DataFrame, vendor_list: DataFrame | None = None) -> DataFrame:
     return normalise_vendors(fill_defaults(rows), vendor_list)
@@ -46,10 +49,11 @@ def statement_vendors(rows: DataFrame, vendor_list: DataFrame | None = None) ->
 def consolidate(rows: DataFrame, vendor_list: DataFrame | None = None, with_variants: bool = True) -> Consolidation:
     """``rows``: statement rows (statement, line_no, date_raw, description, amount, ...).
 
-    The per-statement rollup is used by every finding; on a cluster keep it as a
-    table or persist ``good`` when several findings are wanted.
+    The per-statement rollup feeds every finding, so it is kept (in memory or on
+    disk, rebuilt from the rows if an executor is lost); release it with
+    ``Consolidation.close``.
     """
-    vendors = statement_vendors(rows, vendor_list)
+    vendors = statement_vendors(rows, vendor_list).persist()
     good = X.enough_statements(vendors)
     matches = X.cross_matches(good)
     mismatches = X.amount_mismatches(good)
