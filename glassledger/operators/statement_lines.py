@@ -5,16 +5,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE, contains_any, parse_amount, strip, title
+from ..plans.joins import where_computed
 from ..rules import statements as R
 
 
 
 def skip_line(line: Column) -> Column:
     """Headers, totals, balances, page numbers and rules."""
-    hit = F.lit(False)
-    for p in R.SKIP_LINES:
-        hit = hit | line.rlike("(?i)" + p)
-    return hit
+    return line.rlike("(?i)" + "|".join(R.SKIP_LINES))
 
 
 def looks_like_deposit(description: Column) -> Column:
@@ -30,17 +28,22 @@ def text_lines(pages: DataFrame, keys: list[str], text: str = "text", skip: bool
     return lines.where(~skip_line(F.col("line"))) if skip else lines
 
 
-def _candidate(line: Column, shape: tuple, min_length: int) -> Column:
+_MARK = "\u0001"
+
+
+def _fields(line: Column, shape: tuple) -> Column:
+    """Date, description and amount text of a line known to fit a shape."""
     regex, d, t, a = shape
-    amount = parse_amount(F.regexp_extract(line, regex, a))
-    text = strip(F.regexp_extract(line, regex, t))
-    ok = line.rlike(regex) & amount.isNotNull() & (amount != 0) & (F.length(text) >= min_length)
+    return F.split(F.regexp_replace(line, regex, f"${d}{_MARK}${t}{_MARK}${a}"), _MARK)
+
+
+def _row(fields: Column, shortest: int) -> Column:
+    """A typed row, or null when the amount is zero or no number or the text too short."""
+    amount, text = parse_amount(F.get(fields, F.lit(2))), strip(F.get(fields, F.lit(1)))
     return F.when(
-        ok,
-        F.struct(
-            F.regexp_extract(line, regex, d).alias("date_raw"), text.alias("description"),
-            F.abs(amount).cast("decimal(18,2)").alias("amount"),
-        ),
+        (amount != 0) & (F.length(text) >= shortest),
+        F.struct(F.get(fields, F.lit(0)).alias("date_raw"), text.alias("description"),
+                 F.abs(amount).cast("decimal(18,2)").alias("amount")),
     )
 
 
@@ -48,15 +51,21 @@ def extract_rows(lines: DataFrame, source: str = "bank", profile: str = "consoli
     """Date, description and amount by the first line shape that fits.
 
     A shape whose amount is zero or no number, or whose description is shorter
-    than two characters, is passed over. Lines no shape fits are dropped.
+    than two characters, is passed over. Lines no shape fits are dropped. Nearly
+    every line is settled by the first shape it fits; only the others go through
+    all shapes again.
     """
     shapes, shortest = (R.LINE_SHAPES, 2) if profile == "consolidated" else (R.WORKSHEET_LINE_SHAPES, 0)
-    found = F.coalesce(*[_candidate(F.col("line"), s, shortest) for s in shapes])
-    return (
-        lines.withColumn("_t", found)
-        .where(F.col("_t").isNotNull())
-        .select(*[c for c in lines.columns if c != "line"], "_t.*", F.lit(source).alias("source"))
+    line = F.col("line")
+    first = None
+    for s in shapes:
+        first = F.when(line.rlike(s[0]), _fields(line, s)) if first is None else first.when(line.rlike(s[0]), _fields(line, s))
+    every = F.coalesce(*[F.when(line.rlike(s[0]), _row(_fields(line, s), shortest)) for s in shapes])
+    typed = lines.withColumn("_f", first).withColumn(
+        "_t", F.when(F.col("_f").isNotNull(), F.coalesce(_row(F.col("_f"), shortest), every))
     )
+    kept = where_computed(typed, F.col("_t").isNotNull())
+    return kept.select(*[c for c in lines.columns if c != "line"], "_t.*", F.lit(source).alias("source"))
 
 
 # --- documents -----------------------------------------------------------------

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_phrase, contains_any, dollars, percent
+from ..plans.joins import where_computed
 from ..rules import eligibility as E
 from ..rules import vendors as R
 from .vendor_names import normalise_vendors, preclean
@@ -18,7 +19,7 @@ CLASSIFIER_REVIEW = (
 
 def countable_rows(df: DataFrame) -> DataFrame:
     """Rows that neither the name rules nor the row rules exclude."""
-    return df.where(~F.col("norm_excluded") & F.coalesce(F.col("include_for_1099"), F.lit(True)))
+    return where_computed(df.where(F.coalesce(F.col("include_for_1099"), F.lit(True))), ~F.col("norm_excluded"))
 
 
 def _order(df: DataFrame) -> Column:
@@ -110,7 +111,7 @@ def roll_up_descriptions(
     raw = preclean(F.col("description")) if gated else F.coalesce("description", F.lit(""))
     spelled = sum_spellings(rows.withColumn("raw_name", raw), keys, [], gated)
     named = normalise_vendors(spelled, vendor_list, profile, raw="raw_name", preclean_first=False)
-    return sum_vendors(named.where(~F.col("norm_excluded")), keys, with_variants)
+    return sum_vendors(where_computed(named, ~F.col("norm_excluded")), keys, with_variants)
 
 
 def vendor_variants(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -15,6 +15,17 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _SKETCH_ERROR = 0.05
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter on a costly computed column that is not computed a second time.
+
+    The optimizer moves a filter below the projection that makes its column and
+    repeats the expression there. It does not do so across a task-dependent column,
+    so the partition number is put in between. Not for stored columns: their filters should move.
+    """
+    tag = "_partition"
+    return df.withColumn(tag, F.spark_partition_id()).where(condition & (F.col(tag) >= 0)).drop(tag)
+
+
 @dataclass(frozen=True)
 class KeySize:
     """Upper estimates of how many keys there are and how long the longest is."""
