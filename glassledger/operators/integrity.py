@@ -1,6 +1,7 @@
 """Advisory integrity checks on a clean ledger; each is one row of findings."""
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -15,82 +16,104 @@ def _detail(pairs: dict[str, Column]) -> Column:
     return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("string"))])
 
 
-def _finding(df: DataFrame, name: str, ok: Column, summary: Column, detail: dict[str, Column]) -> DataFrame:
-    return df.select(
-        F.lit(name).alias("name"),
-        F.when(ok, "Pass").otherwise("Warning").alias("status"),
-        summary.alias("summary"),
-        _detail(detail).alias("detail"),
-    )
+@dataclass(frozen=True)
+class Check:
+    """Sums a check needs, and the finding made of them.
 
+    Checks are kept apart from their run so that several share one pass.
+    """
+
+    name: str
+    sums: dict[str, Column]
+    ok: Column
+    summary: Column
+    detail: dict[str, Column]
+
+    def finding(self, position: int) -> Column:
+        detail = _detail(self.detail) if self.detail else F.create_map().cast("map<string,string>")
+        return F.struct(
+            F.lit(position).alias("position"), F.lit(self.name).alias("name"),
+            F.when(self.ok, "Pass").otherwise("Warning").alias("status"),
+            self.summary.alias("summary"), detail.alias("detail"),
+        )
+
+
+def _skipped(name: str, why: str) -> Check:
+    return Check(name, {}, F.lit(True), F.lit(why), {})
 
-def _skipped(df: DataFrame, name: str, why: str) -> DataFrame:
-    empty = F.create_map().cast("map<string,string>")
-    return df.limit(0).agg(F.count("*")).select(
-        F.lit(name).alias("name"), F.lit("Pass").alias("status"), F.lit(why).alias("summary"), empty.alias("detail")
-    )
+
+def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """One row per check, all from a single pass over the ledger."""
+    sums = {k: v for c in checks for k, v in c.sums.items()}
+    one = df.agg(F.count("*").alias("_rows"), *[v.alias(k) for k, v in sums.items()])
+    return one.select(F.inline(F.array(*[c.finding(i) for i, c in enumerate(checks, 1)])))
 
 
 def _has_sides(df: DataFrame) -> bool:
     return {"debit_amount", "credit_amount"} <= set(df.columns)
 
 
-def hash_total(df: DataFrame, tol: float = 0.01) -> DataFrame:
+def _total(c: Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0.0))
+
+
+def hash_total_check(df: DataFrame, tol: float = 0.01) -> Check:
     """Sum of absolute amounts against sum of debits and credits."""
     if not _has_sides(df):
-        return _skipped(df, "Hash total", "Hash-total check skipped (no debit_amount / credit_amount columns).")
-    t = df.agg(
-        F.coalesce(F.sum(F.abs("amount")), F.lit(0.0)).alias("sum_abs"),
-        (F.coalesce(F.sum("debit_amount"), F.lit(0.0)) + F.coalesce(F.sum("credit_amount"), F.lit(0.0))).alias("sum_dc"),
-    ).withColumn("diff", F.abs(F.col("sum_abs") - F.col("sum_dc")))
+        return _skipped("Hash total", "Hash-total check skipped (no debit_amount / credit_amount columns).")
+    sum_abs, sum_dc = F.col("sum_abs"), F.col("sum_d") + F.col("sum_c")
+    diff = F.abs(sum_abs - sum_dc)
     text = F.concat(
-        F.lit("Σ|amount| = "), dollars(F.col("sum_abs")), F.lit("; Σ(debit+credit) = "), dollars(F.col("sum_dc")),
-        F.lit("; diff = "), dollars(F.col("diff")), F.lit("."),
+        F.lit("Σ|amount| = "), dollars(sum_abs), F.lit("; Σ(debit+credit) = "), dollars(sum_dc),
+        F.lit("; diff = "), dollars(diff), F.lit("."),
     )
-    return _finding(t, "Hash total", F.col("diff") <= tol, text, {k: F.col(k) for k in t.columns})
+    sums = {"sum_abs": _total(F.abs("amount")), "sum_d": _total(F.col("debit_amount")), "sum_c": _total(F.col("credit_amount"))}
+    return Check("Hash total", sums, diff <= tol, text, {"sum_abs": sum_abs, "sum_dc": sum_dc, "diff": diff})
 
 
-def cross_footing(df: DataFrame, tol: float = 0.01) -> DataFrame:
+def cross_footing_check(df: DataFrame, tol: float = 0.01) -> Check:
     """Sum of debits against sum of credits."""
     if not _has_sides(df):
-        return _skipped(df, "Cross-footing", "Cross-footing check skipped (no debit_amount / credit_amount columns).")
-    t = (
-        df.agg(
-            F.coalesce(F.sum("debit_amount"), F.lit(0.0)).alias("sum_d"),
-            F.coalesce(F.sum("credit_amount"), F.lit(0.0)).alias("sum_c"),
-        )
-        .withColumn("diff", F.abs(F.col("sum_d") - F.col("sum_c")))
-        .withColumn("pct", F.col("diff") / F.greatest(F.col("sum_d"), F.lit(1.0)) * 100)
-    )
+        return _skipped("Cross-footing", "Cross-footing check skipped (no debit_amount / credit_amount columns).")
+    d, c = F.col("sum_d"), F.col("sum_c")
+    diff = F.abs(d - c)
+    pct = diff / F.greatest(d, F.lit(1.0)) * 100
     text = F.concat(
-        F.lit("ΣDebit = "), dollars(F.col("sum_d")), F.lit("; ΣCredit = "), dollars(F.col("sum_c")),
-        F.lit("; diff = "), dollars(F.col("diff")), F.lit(" ("), F.format_string("%.2f", "pct"), F.lit("%)."),
+        F.lit("ΣDebit = "), dollars(d), F.lit("; ΣCredit = "), dollars(c),
+        F.lit("; diff = "), dollars(diff), F.lit(" ("), F.format_string("%.2f", pct), F.lit("%)."),
     )
-    return _finding(t, "Cross-footing", F.col("diff") <= tol, text, {k: F.col(k) for k in t.columns})
+    sums = {"sum_d": _total(F.col("debit_amount")), "sum_c": _total(F.col("credit_amount"))}
+    return Check("Cross-footing", sums, diff <= tol, text, {"sum_d": d, "sum_c": c, "diff": diff, "pct": pct})
 
 
-def date_in_period(df: DataFrame, start: date | None, end: date | None) -> DataFrame:
+def period_check(start: date | None, end: date | None) -> Check:
     """Rows outside the period; both bounds count, the end one at midnight."""
     if start is None or end is None:
-        return _skipped(df, "Date in period", "Period bounds not provided — check skipped.")
+        return _skipped("Date in period", "Period bounds not provided — check skipped.")
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     d = F.col("date")
-    t = df.agg(
-        F.count(d).alias("n_total"),
-        F.count_if((d < lo) | (d > hi)).alias("n_out_of_bounds"),
-        F.count_if(d.isNull()).alias("n_null"),
-    )
-    span = f"[{start.isoformat()} .. {end.isoformat()}]"
+    sums = {"n_total": F.count(d), "n_out_of_bounds": F.count_if((d < lo) | (d > hi)), "n_null": F.count_if(d.isNull())}
+    out, null = F.col("n_out_of_bounds"), F.col("n_null")
     text = F.concat(
-        F.col("n_out_of_bounds").cast("string"), F.lit(" of "), F.col("n_total").cast("string"),
-        F.lit(f" rows fall outside {span}"),
-        F.when(F.col("n_null") > 0, F.concat(F.lit("; "), F.col("n_null").cast("string"),
-                                             F.lit(" rows have an unparseable date"))).otherwise(""),
+        out.cast("string"), F.lit(" of "), F.col("n_total").cast("string"),
+        F.lit(f" rows fall outside [{start.isoformat()} .. {end.isoformat()}]"),
+        F.when(null > 0, F.concat(F.lit("; "), null.cast("string"), F.lit(" rows have an unparseable date"))).otherwise(""),
         F.lit("."),
     )
-    detail = {k: F.col(k) for k in t.columns}
-    detail |= {"period_start": F.lit(start.isoformat()), "period_end": F.lit(end.isoformat())}
-    return _finding(t, "Date in period", (F.col("n_out_of_bounds") == 0) & (F.col("n_null") == 0), text, detail)
+    detail = {k: F.col(k) for k in sums} | {"period_start": F.lit(start.isoformat()), "period_end": F.lit(end.isoformat())}
+    return Check("Date in period", sums, (out == 0) & (null == 0), text, detail)
+
+
+def hash_total(df: DataFrame, tol: float = 0.01) -> DataFrame:
+    return run_checks(df, [hash_total_check(df, tol)])
+
+
+def cross_footing(df: DataFrame, tol: float = 0.01) -> DataFrame:
+    return run_checks(df, [cross_footing_check(df, tol)])
+
+
+def date_in_period(df: DataFrame, start: date | None, end: date | None) -> DataFrame:
+    return run_checks(df, [period_check(start, end)])
 
 
 def account_offenders(df: DataFrame) -> DataFrame:
@@ -113,19 +136,19 @@ def account_offenders(df: DataFrame) -> DataFrame:
     )
 
 
-def account_mapping(df: DataFrame) -> DataFrame:
+def account_mapping(df: DataFrame, position: int = 1) -> DataFrame:
     """Code and name must map one to one; three offenders of each kind are shown."""
     if not {"account_code", "account_name"} <= set(df.columns):
-        return _skipped(df, "Account mapping", "Account mapping check skipped (columns missing).")
+        skipped = _skipped("Account mapping", "Account mapping check skipped (columns missing).")
+        return df.limit(0).agg(F.count("*")).select(F.inline(F.array(skipped.finding(position))))
     bad = account_offenders(df)
-
     t = bad.agg(
         F.count_if(F.col("kind") == "account_code").alias("n_codes"),
         F.count_if(F.col("kind") == "account_name").alias("n_names"),
+    ).withColumns(
+        {"codes": _smallest_three(bad, "account_code", "codes").scalar(),
+         "names": _smallest_three(bad, "account_name", "names").scalar()}
     )
-    shown = _smallest_three(bad, "account_code", "codes")
-    shown2 = _smallest_three(bad, "account_name", "names")
-    t = t.withColumn("codes", shown.scalar()).withColumn("names", shown2.scalar())
     parts = [
         F.when(F.col(f"n_{a}") > 0, F.concat(
             F.col(f"n_{a}").cast("string"), F.lit(f" {k}(s) map to multiple {b} (e.g. "),
@@ -136,7 +159,8 @@ def account_mapping(df: DataFrame) -> DataFrame:
     text = F.when(ok, "Account code ↔ name mapping is consistent.").otherwise(
         F.concat(F.concat_ws("; ", *parts), F.lit("."))
     )
-    return _finding(t, "Account mapping", ok, text, {"bad_codes": F.col("n_codes"), "bad_names": F.col("n_names")})
+    check = Check("Account mapping", {}, ok, text, {"bad_codes": F.col("n_codes"), "bad_names": F.col("n_names")})
+    return t.select(F.inline(F.array(check.finding(position))))
 
 
 def _smallest_three(bad: DataFrame, kind: str, name: str) -> DataFrame:
@@ -145,13 +169,9 @@ def _smallest_three(bad: DataFrame, kind: str, name: str) -> DataFrame:
 
 
 def integrity_checks(df: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
-    """The four checks, numbered in display order."""
-    checks = [hash_total(df), cross_footing(df), date_in_period(df, start, end), account_mapping(df)]
-    out = None
-    for i, c in enumerate(checks, 1):
-        c = c.select(F.lit(i).alias("position"), "*")
-        out = c if out is None else out.unionByName(c)
-    return out
+    """The four checks, numbered in display order; the three sums share one pass."""
+    sums = run_checks(df, [hash_total_check(df), cross_footing_check(df), period_check(start, end)])
+    return sums.unionByName(account_mapping(df, 4))
 
 
 def findings_by_status(findings: DataFrame) -> DataFrame:

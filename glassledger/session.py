@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only when the session names none (tests on one machine) is a folder made.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="glassledger-")
         sc.setCheckpointDir(named)
