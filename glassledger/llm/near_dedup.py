@@ -7,7 +7,9 @@ part on the way down, others stay together. Each token chosen names a child. Nod
 compared exhaustively; larger ones branch again, by several levels a job (``STEPS``). From the second step on a large
 node also compares all its documents with its smallest one, and once links are known, nodes whose documents are
 all connected are done: whatever links they hold join nothing new; a node with few pairs left open (``SMALL`` for each of
-its documents) has just those compared. Nodes still large and mixed after the last step are compared in full. Pairs are confirmed on their full sets. A pair of similarity 0.85 misses all its 24 first choices
+its documents) has just those compared. Nodes still large and mixed after the last step
+are compared in full. Pairs that agree in fewer than ``fewest_common`` tokens are passed over (0.85 similar ones do so with
+a probability of 0.0003); the others are confirmed on their full sets. A pair of similarity 0.85 misses all its 24 first choices
 with probability 0.15^24; in large groups of barely similar texts it may part in all of some 20 shared paths, which
 happens with a probability below 0.01 (higher similarities: far below).
 
@@ -27,7 +29,7 @@ from glassledger.llm.words import Texts, grams, lower_ascii, map_texts, mix, run
 
 SHINGLE = 5
 SIMILAR = 85
-TOKENS = 64
+TOKENS = 128
 TREES = 12
 AGAIN = 0.18
 SMALL = 48
@@ -73,15 +75,16 @@ def sketches(documents: DataFrame) -> DataFrame:
         codes, n = shingles(texts)
         some = np.flatnonzero(n)
         starts = (np.cumsum(n) - n)[some]
-        tokens, digests = [None] * texts.rows, [None] * texts.rows
+        tokens, low, digests = ([None] * texts.rows for _ in range(3))
         if len(some):
             wide, sums = _tokens(codes, starts), [np.add.reduceat(mix(codes, s), starts) for s in (31, 37)]
             for i, k in enumerate(some):
                 tokens[k] = wide[i].tobytes()
+                low[k] = wide[i].astype(np.uint8).tobytes()
                 digests[k] = sums[0][i].tobytes() + sums[1][i].tobytes()
-        return {"doc_id": rows.column("doc_id"), "n_shingles": n, "digest": pa.array(digests, pa.binary()), "tokens": pa.array(tokens, pa.binary())}
+        return {"doc_id": rows.column("doc_id"), "n_shingles": n, "digest": pa.array(digests, pa.binary()), "tokens": pa.array(tokens, pa.binary()), "low": pa.array(low, pa.binary())}
 
-    return map_texts(documents.select("doc_id", "text"), task, "doc_id long, n_shingles long, digest binary, tokens binary")
+    return map_texts(documents.select("doc_id", "text"), task, "doc_id long, n_shingles long, digest binary, tokens binary, low binary")
 
 
 def _branch(levels: int, first: bool = False):
@@ -111,6 +114,27 @@ def _roots(batches):
             yield pa.RecordBatch.from_arrays([pa.array(root), batch.column("doc"), batch.column("tokens")], ["node", "doc", "tokens"])
 
 
+def fewest_common(similar: int) -> int:
+    """3.5 standard errors below what pairs at the bound have in common."""
+    s = similar / 100
+    return int(TOKENS * s - 3.5 * (TOKENS * s * (1 - s)) ** 0.5)
+
+
+def likely(pairs: DataFrame, reps: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs that agree in enough of their tokens (one byte of each is looked at)."""
+    low = lambda end: reps.select(F.col("doc").alias(end), F.col("low").alias(f"low_{end}"))
+    fewest = fewest_common(similar)
+    met = pairs.join(low("a"), "a").join(low("b"), "b").select("a", "b", "low_a", "low_b")
+
+    def task(batches):
+        for rows in batches:
+            if rows.num_rows:
+                a, b = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("low_a", "low_b"))
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= fewest))
+
+    return met.mapInArrow(task, "a long, b long")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
@@ -160,10 +184,10 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[int, ...] = STEPS) -> DataFrame:
     documents = documents.select("doc_id", "text")
     sketched = keep(sketches(documents), "sketch")
-    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"))
+    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("low").alias("low"))
     classes = keep(classes, "classes")
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens")
-    rows = reps.mapInArrow(_roots, "node long, doc long, tokens binary").mapInArrow(_branch(steps[0], True), "node long, doc long")
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens", "low")
+    rows = reps.select("doc", "tokens").mapInArrow(_roots, "node long, doc long, tokens binary").mapInArrow(_branch(steps[0], True), "node long, doc long")
     texts = tested = edges = labels = None
     waiting: list[DataFrame] = []
     for step in range(1, len(steps) + 1):
@@ -183,7 +207,8 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
                 pairs = pairs.unionByName(other)
             pairs = pairs.distinct()
             pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            found = keep(confirm(pairs, texts, similar), "links")
+            close = keep(likely(pairs, reps, similar), "close")
+            found = keep(confirm(close, texts, similar), "links")
             tested = pairs if tested is None else tested.unionByName(pairs)
             edges = found if edges is None else edges.unionByName(found)
             labels = components(edges)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from glassledger.llm.labelled import held_out, sample_of_texts
 from glassledger.llm.quality_rules import repeated_lines, repeated_words
-from glassledger.llm.words import Texts, map_texts
+from glassledger.llm.words import Texts, map_texts, runs
 
 BUCKETS = 1 << 15
 RANK = 6
@@ -174,3 +174,18 @@ def quality_scores(documents: DataFrame, labels: DataFrame, sample_rows: int = S
 
     scored = map_texts(documents.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")), score, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, whose score reaches the threshold."""
+    machine = learn(documents, labels, sample_rows)
+
+    def task(batches):
+        for rows, texts in runs(batches):
+            if machine is not None:
+                bucket, of, value, stats = features(texts, _lengths(rows, texts))
+                margins, _ = machine.margins(*machine.inputs(bucket, of, value, stats), texts.rows)
+                rows = rows.filter(pa.array(_sigmoid(margins) >= threshold))
+            yield rows
+
+    return documents.mapInArrow(task, documents.schema)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from glassledger.llm import chat_format, decontamination, substring_dedup
 from glassledger.llm.language_id import predict_language
 from glassledger.llm.line_dedup import dedup_lines
+from glassledger.llm.mixing import mixed
 from glassledger.llm.near_dedup import near_duplicates
 from glassledger.llm.quality_classifier import quality_scores
 from glassledger.llm.quality_rules import quality_rules
@@ -28,6 +29,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(chat_format.with_probe(_read(spark, sf_dir, "conversations")))
 
@@ -52,6 +57,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_near_dedup, op5_chat_format, op6_language_id, op7_quality_classifier, op8_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_near_dedup, op4_mixing, op5_chat_format, op6_language_id, op7_quality_classifier, op8_quality_rules,
                                    op9_toxicity, op10_decontamination)}
 ORACLE = {"op2_substring_dedup": substring_dedup.ORACLE, "op5_chat_format": chat_format.ORACLE, "op10_decontamination": decontamination.ORACLE}

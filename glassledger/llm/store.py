@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 from glassledger.session import scratch_path
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once and read again: later jobs neither repeat the work nor hang on a lost executor."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written once and read again: later jobs neither repeat the work nor hang on a lost executor.
+
+    Once they are written, the shuffle files behind them are of no more use and go at once."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        # planned anew, so that the setting holds for it
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glassledger.llm.store import keep
 from glassledger.llm.words import Texts, grams, map_texts, runs, texts_of
 
 WINDOW = 13
@@ -153,15 +154,16 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     documents = documents.select("doc_id", "text")
     filed = prefixes(documents, window)
     shared = filed.groupBy("prefix").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low < _high").select("prefix")
-    lists = filed.join(shared, "prefix").groupBy("doc").agg(F.collect_set("prefix").alias("prefixes"))
+    lists = keep(filed.join(shared, "prefix").groupBy("doc").agg(F.collect_set("prefix").alias("prefixes")), "prefixes")
     texts = documents.join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "prefixes")
-    strings = _strings(texts, window)
+    strings = keep(_strings(texts, window), "strings")
     code, check = F.xxhash64("string").alias("code"), F.xxhash64(F.lit(1), "string").alias("check")
-    distinct = strings.groupBy("prefix", "string").agg(F.min("doc").alias("doc"))
+    distinct = keep(strings.groupBy("prefix", "string").agg(F.min("doc").alias("doc")), "distinct-strings")
     long = distinct.groupBy("prefix").agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP).select("prefix", F.lit(True).alias("_long"))
     dealt = distinct.join(long, "prefix", "left").select("prefix", "string", "doc", code, check, F.coalesce("_long", F.lit(False)).alias("_long"))
     usual = dealt.where("not _long").select("prefix", "string", "doc", "code", "check").repartition("prefix").sortWithinPartitions("prefix")
     trees = usual.mapInArrow(_subtrees(window), "code long, check long, begin long, least array<long>")
+    trees = keep(trees, "subtrees")
     apart = dealt.where("_long").select("code", "check", "string", "doc").mapInArrow(_windows(window), "code long, check long, begin long, string string, doc long")
     mins = apart.groupBy("string").agg(F.min("doc").alias("_least"))
     trees = trees.unionByName(apart.join(mins, "string").select("code", "check", "begin", F.array("_least").alias("least")))
@@ -169,7 +171,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     met = places.join(trees, ["code", "check"])
     inside = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc"), (F.col("place") + F.col("begin") + i).cast("int"))), lambda x: x.isNotNull())
     met = met.select("doc", inside.alias("_starts")).where(F.size("_starts") > 0)
-    return met.groupBy("doc").agg(F.flatten(F.collect_list("_starts")).alias("starts"))
+    return keep(met.groupBy("doc").agg(F.flatten(F.collect_list("_starts")).alias("starts")), "starts")
 
 
 def dedup_substrings(documents: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
