@@ -32,7 +32,7 @@ SIMILAR = 85
 TOKENS = 128
 TREES = 12
 AGAIN = 0.18
-SMALL = 48
+SMALL = 12
 STEPS = (1, 3, 4, 4, 4, 4, 4, 4, 4)
 
 
