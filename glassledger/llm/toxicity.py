@@ -22,7 +22,7 @@ from glassledger.llm.labelled import held_out, sample_of_texts
 from glassledger.llm.words import Texts, lower_ascii, map_texts, mix, segment_codes
 
 BUCKETS = 1 << 18
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 2_500
 SEED_G2 = 22.0
 THRESHOLD = 0.5
 STEPS = 40
