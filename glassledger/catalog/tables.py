@@ -79,11 +79,11 @@ def scanned_ledger(spark, sf):
     return df.select("journal_ref", "account_name", "vendor", "description", F.date_format("date", "yyyy-MM-dd").alias("date"), "amount")
 
 
-@query("scanned_vendor_list", "SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 3 = 0")
+@query("scanned_vendor_list", "SELECT DISTINCT p_name AS name FROM part")
 def scanned_vendor_list(spark, sf):
     path = scratch_path(spark, "vendors")
-    names = table(spark, sf, "part").where("p_partkey % 3 = 0").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
-    S.write_table(names.orderBy("k").select(F.col("p_name").alias("Vendor Name"), "k").coalesce(1), path, "csv")
+    names = table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    S.write_table(names.orderBy("k").select(F.col("p_name").alias("Vendor Name"), "k"), path, "csv")
     return S.scan_vendor_list(spark, path).select("name")
 
 

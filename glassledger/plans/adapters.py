@@ -5,19 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-SPREAD_BYTES = 1 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A benchmark table. One file of one row group is read by one task; when such a
-    scan leaves most cores idle its rows are dealt out first. Tables that split
-    into as many parts as there are cores, as any large one does, are left alone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_BYTES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A benchmark table; how its files are split is the session's business (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

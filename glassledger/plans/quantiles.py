@@ -29,9 +29,6 @@ def interpolated_quantiles(
         ).first()
         if not head["n"]:
             return [None] * len(probs)
-        if head["rows"] <= direct_limit:
-            arr = F.array(*[F.lit(float(p)) for p in probs])
-            return list(vals.agg(F.percentile("v", arr, F.col("w")).alias("q")).first()["q"])
         ranks = {p: p * (head["n"] - 1) for p in probs}
         wanted = sorted({r for pos in ranks.values() for r in (math.floor(pos), math.ceil(pos))})
         at = _values_at_ranks(vals, wanted, head["lo"], head["hi"], direct_limit)

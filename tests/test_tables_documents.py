@@ -132,3 +132,18 @@ def test_history(spark, tmp_path):
     assert h.count() == 4 and len(h.where("tool_name = 'memo'").first()["output_preview"]) == 240
     assert [r["output_content"] for r in H.list_history(h, "gl").collect()] == ["later", "short"]
     assert [r["tool_name"] for r in H.list_tools(h).collect()] == ["gl", "memo"]
+
+
+def test_quoted_cells_and_several_vendor_lists(spark, tmp_path):
+    from glassledger.sources import tables as S
+
+    (tmp_path / "t.csv").write_text('Name,Note\n"Bob ""Big"" Smith, LLC","line one"\nC:\\dir\\,"a,b"\n')
+    rows = [tuple(r) for r in S.read_text_columns(spark, str(tmp_path / "t.csv"), ["n", "m"]).collect()]
+    assert rows == [('Bob "Big" Smith, LLC', "line one"), ("C:\\dir\\", "a,b")]
+    S.write_table(spark.createDataFrame(rows, "n string, m string"), str(tmp_path / "again"), "csv")
+    assert sorted(tuple(r) for r in S.read_text_columns(spark, str(tmp_path / "again"), ["n", "m"]).collect()) == sorted(rows)
+    (tmp_path / "lists").mkdir()
+    for file, names in (("a.csv", ["Vendor Name", "Zed", "Abe"]), ("b.csv", ["Vendor Name", "Moe", "Vendor Name"])):
+        (tmp_path / "lists" / file).write_text("\n".join(names) + "\n")
+    got = [r.name for r in S.scan_vendor_list(spark, str(tmp_path / "lists")).orderBy("pos").collect()]
+    assert got == ["Zed", "Abe", "Moe", "Vendor Name"]
