@@ -28,7 +28,7 @@ TARGET = {"good": 0.96, "good_toxic": 0.01, "poor": 0.03, "poor_toxic": 0.0}
 GAIN = 1.05
 SAMPLE_ROWS = 12_000
 CELLS = 1 << 14
-WEIGHT = 40
+WEIGHT = 300
 GRID = 32
 STEPS = 25
 _K = len(DOMAINS)
