@@ -122,11 +122,10 @@ def tax_form_amounts(spark, sf):
 # --- tables of cells ----------------------------------------------------------------
 
 _INCOME = "regexp_matches(description, '^(PAYROLL|INTEREST|OPENING|MONTHLY)')"
-_THIRD = f"(line_no // {LINES_PER_PAGE}) % 3 = 0"
 
 
 @query("rows_from_cells", with_(TXN, body=f"""SELECT {_DOC} AS document, date_raw, description, CAST(amount AS DOUBLE) AS amount FROM tx
-  WHERE {_THIRD} AND amount <> 0 AND NOT (description LIKE 'PAYROLL%' OR description LIKE 'INTEREST%' OR description LIKE 'OPENING%' OR description LIKE 'Debit%')"""))
+  WHERE amount <> 0 AND NOT (description LIKE 'PAYROLL%' OR description LIKE 'INTEREST%' OR description LIKE 'OPENING%' OR description LIKE 'Debit%')"""))
 def rows_from_cells(spark, sf):
     return doubles(L.rows_from_cells(statement_cells(spark, sf), ["document"]).select("document", "date_raw", "description", "amount"), "amount")
 
@@ -136,7 +135,7 @@ SELECT CASE WHEN odd THEN date_raw END AS "Date", CASE WHEN odd THEN description
   CASE WHEN odd THEN CASE WHEN inc THEN '' ELSE f END END AS "Withdrawal", CASE WHEN odd THEN CASE WHEN inc THEN f ELSE '' END END AS "Deposit",
   CASE WHEN NOT odd THEN description END AS "Payee", CASE WHEN NOT odd THEN date_raw END AS "Post Date",
   CASE WHEN NOT odd THEN CASE WHEN inc THEN '' ELSE f END END AS "Debit", CASE WHEN NOT odd THEN CASE WHEN inc THEN f ELSE '' END END AS "Credit"
-FROM (SELECT *, (line_no // {LINES_PER_PAGE}) % 2 = 1 AS odd, {_INCOME} AS inc, {_FMT} AS f FROM tx WHERE {_THIRD})"""))
+FROM (SELECT *, (line_no // {LINES_PER_PAGE}) % 2 = 1 AS odd, {_INCOME} AS inc, {_FMT} AS f FROM tx)"""))
 def concatenated_tables(spark, sf):
     return T.concat_tables(statement_cells(spark, sf), statement_pages(spark, sf))
 
@@ -144,7 +143,7 @@ def concatenated_tables(spark, sf):
 @query("page_tables", with_(TXN, body=f"""
 SELECT {_DOC} || CASE WHEN (line_no // {LINES_PER_PAGE}) % 2 = 1 THEN '_transactions' ELSE '_t1' END AS table_name,
   CASE WHEN (line_no // {LINES_PER_PAGE}) % 2 = 1 THEN 'Date, Description, Withdrawal, Deposit' ELSE 'Payee, Post_Date, Debit, Credit' END AS columns,
-  CASE WHEN (line_no // {LINES_PER_PAGE}) % 2 = 1 THEN date_raw ELSE description END AS first_value, 1 AS source_page FROM tx WHERE {_THIRD}"""))
+  CASE WHEN (line_no // {LINES_PER_PAGE}) % 2 = 1 THEN date_raw ELSE description END AS first_value, 1 AS source_page FROM tx"""))
 def page_tables(spark, sf):
     cells = statement_cells(spark, sf).withColumn("label", F.lit(None).cast("string"))
     rows = T.page_tables(cells)
@@ -164,7 +163,9 @@ def extraction_tiers(spark, sf):
 def chosen(spark: SparkSession, sf: str):
     docs = statement_pages(spark, sf).withColumn("document_type", L.document_type(F.col("text")))
     tax = L.tax_form_amounts(docs, ["document"])
-    table = L.rows_from_cells(statement_cells(spark, sf), ["document"])
+    # documents whose number divides by three came with their tables; the others are text alone
+    tabled = statement_cells(spark, sf).where(F.regexp_extract("document", r"\d+$", 0).cast("long") % 3 == 0)
+    table = L.rows_from_cells(tabled, ["document"])
     lines = line_rows(spark, sf)
     return L.choose_tier(docs.select("document", "document_type"), "document", tax, table, lines), tax, table, lines
 

@@ -5,8 +5,8 @@ Rows are therefore counted per feature vector first: copies of a row, however
 many, are one counted vector in every later step.
 
 Fit: each tree takes at most 256 rows, so 200 trees need some 51,200 rows
-whatever the ledger holds. A pool of rows is drawn by hash, the rows of each
-tree are drawn from it, and trees are grown one per group.
+whatever the ledger holds. They are picked by hash straight from the counted
+vectors, by one rule for every size, and trees are grown one per group.
 
 Score: for a fixed 0/1 pattern the mean path length is a step function of the
 z-score. The steps of the 32 patterns (at most 200 x 255 each) are worked out
@@ -28,7 +28,6 @@ from .ledger import contamination, raw_tier, tier_cuts
 TREES = 200
 SAMPLE = 256
 SEED = 42
-POOL = 120_000
 _Z_PLACES = 9
 _FLAGS = list(R.FLAG_LABELS)
 
@@ -87,30 +86,20 @@ def _unit_hash(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def draw_pool(counts: DataFrame, total: int, seed: int = SEED, pool: int = POOL) -> DataFrame:
-    """About ``pool`` rows as (pattern, z, copy), each ledger row alike likely.
+def draw_tree_rows(counts: DataFrame, total: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """Some 1.6 x ``sample`` ledger rows per tree without replacement, straight from the counted vectors; all where there are fewer.
 
-    A vector that stands for n rows gives n x rate copies, the fraction decided
-    by its hash, so hot vectors need no row-by-row draw.
+    A vector that stands for n rows is picked n x share x ``trees`` times, the fraction decided by its hash, and its picks go
+    round the trees from a place that its hash gives: in one tree it has at most n of them, and no row is drawn by itself.
     """
-    rate = min(1.0, pool / max(total, 1))
-    u = _unit_hash(F.lit(seed), F.col("pattern"), F.col("z"))
-    take = F.col("n") if rate >= 1.0 else F.floor(F.col("n") * rate + u).cast("long")
-    return (
-        counts.withColumn("take", take)
-        .where("take > 0")
-        .select("pattern", "z", F.explode(F.sequence(F.lit(1).cast("long"), F.col("take"))).alias("copy"))
-    )
-
-
-def draw_tree_rows(pool: DataFrame, pool_rows: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """``sample`` pool rows per tree without replacement, chosen by hash."""
-    share = min(1.0, sample * 1.6 / max(pool_rows, 1))
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    keyed = pool.select("pattern", "z", "copy", tree).withColumn(
-        "u", _unit_hash(F.lit(seed + 1), F.col("tree"), F.col("pattern"), F.col("z"), F.col("copy"))
-    )
-    return keyed.where(F.col("u") < share)
+    share = min(1.0, sample * 1.6 / max(total, 1))
+    vector = (F.col("pattern"), F.col("z"))
+    picks = F.floor(F.col("n") * F.lit(share) * trees + _unit_hash(F.lit(seed), *vector)).cast("long")
+    picked = counts.withColumn("_picks", picks).where("_picks > 0")
+    dealt = picked.select("pattern", "z", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_picks") - 1)).alias("copy"))
+    tree = F.pmod(F.xxhash64(F.lit(seed + 2), *vector) + F.col("copy"), F.lit(trees)).cast("int")
+    return dealt.select("pattern", "z", "copy", tree.alias("tree"),
+                        _unit_hash(F.lit(seed + 1), tree, *vector, F.col("copy")).alias("u"))
 
 
 _STEP_SCHEMA = "tree int, pattern int, bound double, jump double"
@@ -220,7 +209,7 @@ def fit_forest(counts: DataFrame, total: int, trees: int = TREES, sample: int =
     """``counts`` is a counted feature frame. The driver receives the steps only:
     at most ``trees`` x 32 x ``sample`` rows, whatever the ledger holds."""
     sample = min(sample, total)
-    rows = draw_tree_rows(draw_pool(counts, total, seed), min(total, POOL), trees, sample, seed)
+    rows = draw_tree_rows(counts, total, trees, sample, seed)
     steps = tree_steps(rows, sample, seed).toPandas()
     return Forest(sum_steps(steps), steps["tree"].nunique(), sample)
 

@@ -89,8 +89,8 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statement_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third page of lines as a table of cells; income stands in the deposit column."""
-    rows = statement_rows(spark, sf_dir).withColumn("page_no", F.floor(F.col("line_no") / LINES_PER_PAGE)).where("page_no % 3 = 0")
+    """Each page of lines as a table of cells; income stands in the deposit column."""
+    rows = statement_rows(spark, sf_dir).withColumn("page_no", F.floor(F.col("line_no") / LINES_PER_PAGE))
     paid = F.format_number("amount", 2)
     income = F.col("description").rlike("^(PAYROLL|INTEREST|OPENING|MONTHLY)")
     doc = F.concat(F.lit("doc_"), F.col("page_no").cast("string")).alias("document")

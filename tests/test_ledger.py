@@ -116,9 +116,20 @@ def test_step_functions_equal_tree_walks():
 
 def test_hot_copies_keep_their_share(spark):
     counts = spark.createDataFrame([(0, 0.0, 900_000)] + [(1, float(i), 1) for i in range(1000)], "pattern int, z double, n long")
-    pool = forest.draw_pool(counts, 901_000, pool=9_010)
-    hot = pool.where("pattern = 0").count()
-    assert abs(hot - 9_000) <= 1 and pool.count() - hot < 40
+    rows = forest.draw_tree_rows(counts, 901_000, trees=20, sample=256)
+    per_tree = rows.groupBy("tree").count().collect()
+    share = 256 * 1.6 / 901_000
+    hot = rows.where("pattern = 0").count()
+    assert abs(hot - 900_000 * share * 20) <= 1 and rows.count() - hot < 40
+    assert len(per_tree) == 20 and all(abs(r["count"] - 409) < 20 for r in per_tree)
+
+
+def test_few_rows_stand_in_every_tree_once(spark):
+    counts = spark.createDataFrame([(0, 0.0, 3), (1, 2.0, 1)], "pattern int, z double, n long")
+    rows = forest.draw_tree_rows(counts, 4, trees=7, sample=256)
+    got = {(r["tree"], r["pattern"]): r["count"] for r in rows.groupBy("tree", "pattern").count().collect()}
+    assert got == {(t, p): n for t in range(7) for p, n in ((0, 3), (1, 1))}
+    assert rows.select("tree", "u").distinct().count() == 28
 
 
 @pytest.mark.parametrize("limit", [10, 10_000])

@@ -63,14 +63,23 @@ def test_section_headers(spark):
     assert got == {1: "Rent", 4: "Fees"}
 
 
-def test_splitter():
+def test_splitter(spark):
+    def chunks(text, size=C.CHUNK_SIZE, overlap=C.OVERLAP):
+        return spark.createDataFrame([(text,)], "t string").select(C.chunks_of(F.col("t"), size, overlap)).first()[0]
+
     text = "para one. " * 30 + "\n\n" + "word " * 500 + "\n\n" + "x" * 2500
-    out = C.split_text(text)
+    out = chunks(text)
     assert all(len(c) <= C.CHUNK_SIZE + C.OVERLAP + 1 for c in out)
     assert all(b.startswith(a[-C.OVERLAP:].strip()[:50]) for a, b in zip(out, out[1:]))
-    whole = "".join(C.split_text(text, overlap=0))
+    assert [len(c) for c in chunks(text, overlap=0)] == [299, 999, 999, 499, 1000, 1000, 500]
+    whole = "".join(chunks(text, overlap=0))
     assert whole.replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
-    assert C.split_text("") == [] and C.split_text("short") == ["short"]
+    assert chunks("") == [] and chunks(None) == [] and chunks(" \n ") == [] and chunks("short") == ["short"]
+    # a part that is too long ends what was being filled, and its own parts stay apart from what follows
+    assert chunks("a b\n\nc. dd ee ff gg\n\nh", 8, 0) == ["a b", "c.", "dd ee", "ff gg", "h"]
+    assert chunks("ab\n\ncd\n\nef", 8, 0) == ["ab\n\ncd", "ef"]
+    assert chunks("é" * 5, 2, 1) == ["éé", "é éé", "é é"]
+    assert chunks("aa bb cc", 3, 2) == ["aa", "aa bb", "bb cc"]
 
 
 def test_context_chunks(spark):
