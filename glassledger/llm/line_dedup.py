@@ -7,7 +7,8 @@ go by one that goes itself; the first of every chain stays.
 
 Each distinct line of l code points is cut into ``EDITS + 1`` segments. Of two lines within the bound the longer one holds
 some segment of the other unchanged, at one of a few places that follow from both lengths; these substrings are the
-probes. Candidates are verified by an automaton that runs over the ``2 * EDITS + 1`` diagonals of the band as bits, for many pairs at once.
+probes. Two lines that meet are a candidate only if the classes of letters that they hold an odd number of times differ in
+``2 * EDITS`` at most, which no pair within the bound fails. Candidates are verified by an automaton that runs over the ``2 * EDITS + 1`` diagonals of the band as bits, for many pairs at once.
 The texts of candidates are fetched through a filter of ``FILTER`` cells at most, the only thing that is broadcast.
 
 Null text: no lines. Null doc_id: counts as the smallest. Rows that repeat a doc_id: an equal line at the same place counts
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glassledger.llm.store import keep
+from glassledger.llm.words import runs
 
 EDITS = 2
 MIN_CHARS = 20
@@ -50,7 +52,7 @@ def index_keys(line: Column, edits: int = EDITS) -> list[Column]:
 
 
 def probe_keys(line: Column, edits: int = EDITS) -> list[Column]:
-    """Substrings that may be segments of a line shorter by 0 to ``edits``; null where the place lies outside."""
+    """(key, shorter) of substrings that may be segments of a line shorter by 0 to ``edits``; a null key where the place lies outside."""
     n = F.char_length(line)
     out = []
     for less in range(edits + 1):
@@ -60,10 +62,26 @@ def probe_keys(line: Column, edits: int = EDITS) -> list[Column]:
             for shift in range(low, high + 1):
                 start = at + shift
                 inside = (start >= 0) & (start + size <= n)
-                out.append(F.when(inside, F.xxhash64(n - less, F.lit(i), F.substring(line, start + 1, size))))
+                key = F.when(inside, F.xxhash64(n - less, F.lit(i), F.substring(line, start + 1, size)))
+                out.append(F.struct(key.alias("key"), F.lit(less > 0).alias("shorter")))
     return out
 
 
+def with_letters(lines: DataFrame) -> DataFrame:
+    """line, letters: bit k tells whether the code points of class k are odd in number. An edit turns two bits at most."""
+    def task(batches):
+        for rows, texts in runs(batches):
+            data = texts.data
+            follows = np.append(data[1:], np.uint8(0)).astype(np.uint32)
+            kind = (data + np.where(data >= 0xC0, 7 * follows, 0)) % 31
+            bits = np.zeros(len(data) + 1, np.int32)
+            bits[1:] = np.where((data & 0xC0) != 0x80, np.left_shift(1, kind), 0)
+            odd = np.bitwise_xor.accumulate(bits)
+            yield pa.RecordBatch.from_arrays([rows.column("text"), pa.array(odd[texts.offsets[1:]] ^ odd[texts.offsets[:-1]])], ["line", "letters"])
+
+    return lines.select(F.col("line").alias("text")).mapInArrow(task, "line string, letters int")
+
+
 def within(first: list[str], second: list[str], edits: int = EDITS) -> np.ndarray:
     """Whether each pair is within so many edits. Bit k of state e: the diagonal k - edits is reached with e edits."""
     n = len(first)
@@ -117,10 +135,13 @@ def _verify(edits: int):
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): the codes of distinct lines within the bound, a < b."""
-    distinct = lines.groupBy("line").agg(F.count("*").alias("_n")).select(F.xxhash64("line").alias("code"), "line")
-    index = distinct.select(F.col("code").alias("a"), F.explode(F.array(*index_keys(F.col("line"), edits))).alias("key"))
-    probe = distinct.select(F.col("code").alias("b"), F.explode(F.array(*probe_keys(F.col("line"), edits))).alias("key")).where(F.col("key").isNotNull())
-    met = index.join(probe, "key").where(F.col("a") != F.col("b"))
+    distinct = with_letters(lines.select("line").distinct()).withColumn("code", F.xxhash64("line"))
+    index = distinct.select(F.col("code").alias("a"), "letters", F.explode(F.array(*index_keys(F.col("line"), edits))).alias("key"))
+    probe = distinct.select(F.col("code").alias("b"), F.col("letters").alias("other"), F.explode(F.array(*probe_keys(F.col("line"), edits))).alias("probe"))
+    probe = probe.where(F.col("probe.key").isNotNull()).select("b", "other", "probe.key", "probe.shorter")
+    close = F.bit_count(F.col("letters").bitwiseXOR(F.col("other"))) <= 2 * edits
+    # lines of one length probe each other: one of the two ways is enough
+    met = index.join(probe, "key").where(close & ((F.col("a") < F.col("b")) | (F.col("shorter") & (F.col("a") != F.col("b")))))
     pairs = keep(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     cell = lambda c: F.pmod(F.col(c), F.lit(FILTER))
     cells = pairs.select(F.explode(F.array(cell("a"), cell("b"))).alias("cell")).distinct()

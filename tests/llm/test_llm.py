@@ -119,6 +119,24 @@ def test_band_automaton():
         assert [bool(x) for x in line_dedup.within(first, second, edits)] == [distance(a, b) <= edits for a, b in zip(first, second)]
 
 
+def test_line_links(spark):
+    """Every pair within the bound is linked, whatever the letters and lengths."""
+    draw, found = random.Random(4), set()
+    for base in ("the quick brown fox jumps", "Żółć été дом 語言処理 naïve", "a" * 22):
+        for _ in range(25):
+            line = list(base)
+            for _ in range(draw.randrange(4)):
+                at = draw.randrange(len(line))
+                line[at:at + draw.randrange(2)] = draw.choice(["", "é", "x", "語", "a"])
+            found.add("".join(line))
+    found = sorted(x for x in found if len(x) >= 20)
+    lines = spark.createDataFrame([(x,) for x in found], "line string").repartition(3)
+    codes = {r.code: r.line for r in lines.selectExpr("line", "xxhash64(line) AS code").collect()}
+    got = [tuple(sorted((codes[r.a], codes[r.b]))) for r in line_dedup.line_links(lines).collect()]
+    want = {(a, b) for a, b in itertools.combinations(found, 2) if distance(a, b) <= 2}
+    assert len(got) == len(want) and set(got) == want and want
+
+
 def test_lines(spark):
     draw, texts = random.Random(2), [(0, None), (1, ""), (2, "short\nshort")]
     pool = ["".join(draw.choice("abcdefgh ü") for _ in range(draw.randint(20, 40))) for _ in range(12)]
