@@ -17,6 +17,7 @@ from glassledger.llm.quality_classifier import good_documents
 from glassledger.llm.store import keep
 from glassledger.session import ship_package
 
+SIMILAR = 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -31,9 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
+    """Of each group of near duplicates (``SIMILAR`` hundredths of their shingles or more) the document of the smallest doc_id stays."""
     ship_package(spark)
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
+    kept = near_duplicates(docs, SIMILAR).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_semi")
 
 

@@ -1,17 +1,18 @@
 """Near duplicates by a chosen-path similarity join over minwise tokens.
 
 A text's set holds its distinct shingles of five words (A-Z lower-cased). Texts of equal sets form one class. Of each class one
-document goes down ``TREES`` independent trees. A root chooses two of the ``TOKENS`` minwise tokens of a document, every other
-node one, and a second with probability ``AGAIN``, so 1 / 0.85 on average: documents of less than that similarity
-part on the way down, others stay together. Each token chosen names a child. Nodes of up to ``SMALL`` documents are
+document goes down independent trees. A root chooses two of the ``TOKENS`` minwise tokens of a document, every other
+node one, and a second with such a probability that it makes 1 / bound on average (``branching``): documents of less than that
+similarity part on the way down, others stay together. Each token chosen names a child. Nodes of up to ``SMALL`` documents are
 compared exhaustively; larger ones branch again, by several levels a job (``STEPS``). From the second step on a large
 node also compares all its documents with its smallest one, and once links are known, nodes whose documents are
 all connected are done: whatever links they hold join nothing new; a node with few pairs left open (``SMALL`` for each of
 its documents) has just those compared. Nodes still large and mixed after the last step
-are compared in full. Pairs that agree in fewer than ``fewest_common`` tokens are passed over (0.85 similar ones do so with
-a probability of 0.0003); the others are confirmed on their full sets. A pair of similarity 0.85 misses all its 24 first choices
-with probability 0.15^24; in large groups of barely similar texts it may part in all of some 20 shared paths, which
-happens with a probability below 0.01 (higher similarities: far below).
+are compared in full. Pairs that agree in fewer than ``fewest_common`` tokens are passed over (pairs at the bound do so with
+a probability of 0.0003); the others are confirmed on their full sets. A pair right at the bound misses all its first choices
+with probability 0.15^24 (bound 0.85) or less; in large groups of barely similar texts it may part in all the paths it shares. All trees
+choose among the same tokens, so ``missed`` averages over the number that agree: 0.001 after 11 levels below the root, 0.015 after 19, 0.069 after all 31
+(0.002 at 0.90 under the bound of 0.85). The number of trees is the least that keeps the last figure under ``MISS`` for any bound.
 
 Result: doc_id, n_shingles, component_id, kept. Null or empty text: an empty set, linked with nothing. Null doc_id: no node of
 the graph; its component is that of its class, or null. Repeated rows: equal sets, so one class; a doc_id that comes with
@@ -19,6 +20,9 @@ several texts has the links of all of them. Ties: the smallest doc_id stays. An
 """
 from __future__ import annotations
 
+from functools import lru_cache
+from math import ceil, comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +34,32 @@ from glassledger.llm.words import Texts, grams, lower_ascii, map_texts, mix, run
 SHINGLE = 5
 SIMILAR = 85
 TOKENS = 128
-TREES = 12
-AGAIN = 0.18
+MISS = 0.07
 SMALL = 12
 STEPS = (1, 3, 4, 4, 4, 4, 4, 4, 4)
 
 
+def missed(similarity: float, again: float, trees: int, levels: int) -> float:
+    """The probability that a pair parts in all trees within so many levels, averaged over the number of tokens that agree."""
+    total = 0.0
+    for k in range(TOKENS + 1):
+        agree, parted = k / TOKENS, 0.0
+        for _ in range(levels - 1):
+            one = 1 - agree + agree * parted
+            parted = (1 - again) * one + again * one * one
+        total += comb(TOKENS, k) * similarity ** k * (1 - similarity) ** (TOKENS - k) * (1 - agree + agree * parted) ** (2 * trees)
+    return total
+
+
+@lru_cache
+def branching(similar: int) -> tuple[float, int]:
+    """How often a node chooses a second token, and the number of trees, for pairs of ``similar`` hundredths or more."""
+    again, trees = ceil(10_000 / similar - 100) / 100, 1
+    while missed(similar / 100, again, trees, sum(STEPS)) > MISS:
+        trees += 1
+    return again, trees
+
+
 def shingles(texts: Texts, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text, sorted, one text after the other; and how many each has."""
     words = texts.words()
@@ -87,7 +111,7 @@ def sketches(documents: DataFrame) -> DataFrame:
     return map_texts(documents.select("doc_id", "text"), task, "doc_id long, n_shingles long, digest binary, tokens binary, low binary")
 
 
-def _branch(levels: int, first: bool = False):
+def _branch(levels: int, again: float, first: bool = False):
     """From (node, doc, tokens) rows to those of the nodes so many levels below. At a root both choices are taken."""
     def task(batches):
         for batch in batches:
@@ -97,7 +121,7 @@ def _branch(levels: int, first: bool = False):
             node, at = batch.column("node").to_numpy().view(np.uint64), np.arange(batch.num_rows)
             for _ in range(levels):
                 place = mix(node, 51) % np.uint64(TOKENS)
-                more = first | (mix(node, 52) < np.uint64(int(AGAIN * 2.0 ** 64)))
+                more = first | (mix(node, 52) < np.uint64(int(again * 2.0 ** 64)))
                 other = (place + np.uint64(1) + mix(node, 53) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)  # never the same
                 place = np.concatenate([place, other[more]])
                 node, at = np.concatenate([node, node[more]]), np.concatenate([at, at[more]])
@@ -107,11 +131,14 @@ def _branch(levels: int, first: bool = False):
     return task
 
 
-def _roots(batches):
-    for batch in batches:
-        for tree in range(TREES):
-            root = np.full(batch.num_rows, mix(np.array([tree], np.uint64), 61)[0]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(root), batch.column("doc"), batch.column("tokens")], ["node", "doc", "tokens"])
+def _roots(trees: int):
+    def task(batches):
+        for batch in batches:
+            for tree in range(trees):
+                root = np.full(batch.num_rows, mix(np.array([tree], np.uint64), 61)[0]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(root), batch.column("doc"), batch.column("tokens")], ["node", "doc", "tokens"])
+
+    return task
 
 
 def fewest_common(similar: int) -> int:
@@ -182,12 +209,12 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[int, ...] = STEPS) -> DataFrame:
-    documents = documents.select("doc_id", "text")
+    documents, (again, trees) = documents.select("doc_id", "text"), branching(similar)
     sketched = keep(sketches(documents), "sketch")
     classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("low").alias("low"))
     classes = keep(classes, "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens", "low")
-    rows = reps.select("doc", "tokens").mapInArrow(_roots, "node long, doc long, tokens binary").mapInArrow(_branch(steps[0], True), "node long, doc long")
+    rows = reps.select("doc", "tokens").mapInArrow(_roots(trees), "node long, doc long, tokens binary").mapInArrow(_branch(steps[0], again, True), "node long, doc long")
     texts = tested = edges = labels = None
     waiting: list[DataFrame] = []
     for step in range(1, len(steps) + 1):
@@ -216,7 +243,7 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
         if not more or step == len(steps):
             break
         big = _sized(sized.where("not done").select("node", "doc"), labels).select("node", "doc")
-        rows = big.join(reps, "doc").select("node", "doc", "tokens").mapInArrow(_branch(steps[step]), "node long, doc long")
+        rows = big.join(reps, "doc").select("node", "doc", "tokens").mapInArrow(_branch(steps[step], again), "node long, doc long")
     member = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     member = member.select("digest", F.coalesce("component", "rep").alias("_component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(member, "digest", "left")

@@ -74,6 +74,36 @@ def test_near_duplicates_in_large_nodes(spark):
     assert got == brute_links(texts)
 
 
+def test_pipeline_stage_takes_pairs_from_080(spark):
+    """Pairs between the stage's bound and op3's, alone and in a large node."""
+    import corpus_pipeline as pipeline
+
+    draw, texts = random.Random(12), corpus()
+    for size in [2] * 30 + [60]:
+        base = [f"w{draw.randrange(10_000)}" for _ in range(150)]
+        for i in range(size):
+            words = list(base)
+            for at in range(30, 30 + 40 * (i > 0) * (3 if size == 2 else draw.choice((1, 2, 3))), 40):
+                words[at + draw.randrange(9)] = f"v{draw.randrange(10_000)}"
+            texts.append((len(texts), " ".join(words)))
+    want = brute_links(texts, 80)
+    kept = {i for i, (_, component) in want.items() if i == component}
+    assert kept < {i for i, (_, component) in brute_links(texts).items() if i == component}
+    docs = table(spark, texts)
+    assert {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()} == kept
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 80).collect()} == want
+    assert near_dedup.SIMILAR == 85
+
+
+def test_branching_keeps_the_recall():
+    """At any bound, averaged over the tokens that agree, down to the last level."""
+    for similar in (70, 80, 85, 90):
+        again, trees = near_dedup.branching(similar)
+        assert again >= 100 / similar - 1
+        assert near_dedup.missed(similar / 100, again, trees, sum(near_dedup.STEPS)) <= near_dedup.MISS
+    assert near_dedup.missed(0.80, 0.18, 12, 32) > 0.3
+
+
 def test_substrings(spark):
     texts = corpus()
     words = {i: WORD.findall(t or "") for i, t in texts}
