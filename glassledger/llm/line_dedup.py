@@ -1,9 +1,10 @@
 """Line dedup: a segment-partition join of lines within a few edits.
 
-Lines are the parts of a text between line breaks; those of fewer than ``MIN_CHARS`` code points (headings, brackets, blanks)
-are never removed. A line goes when an equal line, or a line within ``EDITS`` insertions, deletions or substitutions
-of code points, appears earlier: in a document of a smaller doc_id, or further up. Links are judged on the input, so a line may
-go by one that goes itself; the first of every chain stays.
+Lines are the parts of a text between line breaks. A line goes when an equal line, or a line within ``EDITS`` insertions, deletions
+or substitutions of code points, appears earlier: in a document of a smaller doc_id, or further up. Links are judged on the input, so a line may
+go by one that goes itself; the first of every chain stays. Edits are looked for between lines of ``MIN_CHARS`` code points or more:
+two edits turn a short line into another word. With ``short_repeats`` (the query and the pipeline) shorter lines that have
+a word go when an equal one appears earlier; without it they are not looked at. Blank lines below that length stay.
 
 Each distinct line of l code points is cut into ``EDITS + 1`` segments. Of two lines within the bound the longer one holds
 some segment of the other unchanged, at one of a few places that follow from both lengths; these substrings are the
@@ -27,12 +28,14 @@ from glassledger.llm.words import runs
 EDITS = 2
 MIN_CHARS = 20
 FILTER = 1 << 18
+WORD = r"[^\x20\x09-\x0D]"
 
 
-def all_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def all_lines(documents: DataFrame, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """doc_id, line_no, line, of the lines that may go."""
-    return (documents.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-            .where(F.char_length("line") >= min_chars))
+    lines = documents.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    long = F.char_length("line") >= min_chars
+    return lines.where(long | F.col("line").rlike(WORD) if short_repeats else long)
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -153,10 +156,11 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return texts.select("a", "b", "line_a", "line_b").mapInArrow(_verify(edits), "a long, b long")
 
 
-def judge_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def judge_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """doc_id, removed (line numbers), n_links: of the documents with lines that go or have links."""
-    lines = all_lines(documents.select("doc_id", "text"), min_chars)
-    links = keep(line_links(lines, edits), "line-links")
+    documents = documents.select("doc_id", "text")
+    links = keep(line_links(all_lines(documents, min_chars), edits), "line-links")
+    lines = all_lines(documents, min_chars, short_repeats)
     places = lines.select("doc_id", "line_no", F.xxhash64("line").alias("code"), F.xxhash64(F.lit(1), "line").alias("check"))
     firsts = keep(places.groupBy("code", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "line-firsts")
     of = lambda end: firsts.select(F.col("code").alias(end), F.col("first").alias(f"first_{end}"))
@@ -172,9 +176,9 @@ def judge_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_C
                                      F.sum(F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
-def dedup_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links (links of its lines to other distinct lines) of every document."""
-    judged = judge_lines(documents, edits, min_chars).withColumnRenamed("doc_id", "_doc")
+    judged = judge_lines(documents, edits, min_chars, short_repeats).withColumnRenamed("doc_id", "_doc")
     counted = documents.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("_lines"), F.col("text").isNull().alias("_none"))
     out = counted.join(judged, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     return out.select("doc_id", F.when(F.col("_none"), 0).otherwise(F.col("_lines")).cast("long").alias("n_lines"),
@@ -182,9 +186,9 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_C
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def without_repeated_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """The documents, all columns, with the lines taken out; the others stay in order. ``n_chars`` follows the text."""
-    judged = judge_lines(documents, edits, min_chars).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
+    judged = judge_lines(documents, edits, min_chars, short_repeats).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
     joined = documents.join(judged, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     some = F.size("_removed") > 0
     rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_removed"), i))

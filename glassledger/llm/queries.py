@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_read(spark, sf_dir, "documents"))
+    return dedup_lines(_read(spark, sf_dir, "documents"), short_repeats=True)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

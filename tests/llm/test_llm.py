@@ -194,6 +194,29 @@ def test_lines(spark):
     assert rest == {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in texts}
 
 
+def test_short_repeats(spark, tmp_path):
+    """In the query and the stage a repeat of any line with a word goes; edits count from 20 code points on."""
+    import corpus_pipeline as pipeline
+    from glassledger.llm import queries
+
+    draw = random.Random(8)
+    pool = ["a", "Les.", "Les,", "And ornd.", "é", "x" * 19, "y" * 19 + "z", "y" * 20, "", "  ", "\t", "a sentence of more than twenty", "a sentence of more than twentx"]
+    texts = [(0, None), (1, ""), (2, "short\nshort")] + [(i, "\n".join(draw.choice(pool) for _ in range(draw.randint(1, 6)))) for i in range(3, 40)]
+    seen, want = [], {}
+    for i, t in texts:
+        want[i] = []
+        for k, line in enumerate(t.split("\n") if t is not None else []):
+            if WORD.search(line):
+                if any(line == x or min(len(line), len(x)) >= 20 and distance(line, x) <= 2 for x in seen):
+                    want[i].append(k)
+                seen.append(line)
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: len(g) for i, g in want.items()} and want[2] == [1]
+    rest = {r.doc_id: r.text for r in pipeline.line_dedup(spark, table(spark, texts), "").collect()}
+    assert rest == {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in texts}
+
+
 def test_seeds_find_every_window_within_the_bound():
     def found(n, misses):
         return all(any(all(p + s not in out for p in seed) for seed in decontamination.SEEDS for s in range(n - max(seed)))
