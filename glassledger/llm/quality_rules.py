@@ -2,7 +2,7 @@
 
 Words and pairs of words are hashed into ``BUCKETS`` cells. One pass over all documents
 counts the cells in the raw corpus and in a trusted part, the documents that ``labels`` marks
-as good (at most ``TRUSTED_ROWS`` of them, those of the smallest hash). The trusted multinomial
+as good, all of them. The trusted multinomial
 is smoothed by the raw one. A document's score is the mean of ``log(trusted / raw)`` over
 its n-grams, and it is kept when no base rule fails and the score reaches ``MIN_RATIO``.
 
@@ -19,16 +19,14 @@ from pyspark.sql import functions as F
 from glassledger.llm.words import Texts, grams, map_texts, mix, runs, segment_codes
 
 BUCKETS = 1 << 16
-TRUSTED_ROWS = 20_000
 MIN_RATIO = -0.2
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"[#*$%&|<>]")] = True
 _SYMBOL[list(b"[]")] = False
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    return (labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-            .orderBy(F.xxhash64(F.lit("trusted"), "doc_id"), "doc_id").limit(rows))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def _cells(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +41,10 @@ def _cells(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def cell_counts(documents: DataFrame, trusted: DataFrame) -> DataFrame:
     """(cell, raw, trusted): n-grams of the whole corpus. Each task sends one row a cell at most."""
-    marked = documents.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(True))), "doc_id", "left")
+    # by shuffle for any number of ids; rows without a doc_id meet nothing and are dealt out by their text
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)
+    marked = (documents.select("doc_id", "text", spread.alias("_spread"))
+              .join(trusted.withColumns({"good": F.lit(True), "_spread": F.lit(0).cast("long")}).hint("shuffle_hash"), ["doc_id", "_spread"], "left").select("text", "good"))
 
     def count(batches):
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -110,9 +111,8 @@ def repeated_words(texts: Texts, words, codes: np.ndarray, n: int = 8) -> np.nda
     return covered[words.first[1:]] - covered[words.first[:-1]]
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS,
-                  min_ratio: float = MIN_RATIO) -> DataFrame:
-    ratios = log_ratios(cell_counts(documents, trusted_ids(labels, trusted_rows)))
+def quality_rules(documents: DataFrame, labels: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
+    ratios = log_ratios(cell_counts(documents, trusted_ids(labels)))
 
     def judge(rows, texts):
         words = texts.words()

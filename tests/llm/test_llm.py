@@ -319,6 +319,18 @@ def test_rules_count_like_brute_force(spark):
         assert r.kept == (not failed and r.log_ratio >= quality_rules.MIN_RATIO)
 
 
+def test_all_trusted_documents_count(spark):
+    """However many there are."""
+    n = 20_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "'w' AS text").unionByName(spark.createDataFrame([(None, "w v"), (0, "w")], "doc_id long, text string"))
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    labels = labels.unionByName(spark.createDataFrame([(None, 1, 0), (3, 1, 0)], LABELS))
+    trusted = quality_rules.trusted_ids(labels)
+    assert trusted.count() == n
+    got = sorted((r.raw, r.trusted) for r in quality_rules.cell_counts(docs, trusted).collect())
+    assert got == [(1, 0), (1, 0), (n + 2, n + 1)]  # the pair, "v", "w"
+
+
 def test_machine_takes_all_pairs():
     m = quality_classifier.Machine()
     m.linear = np.random.default_rng(1).normal(size=len(m.linear))
