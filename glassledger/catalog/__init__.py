@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["ledger", "vendors", "statements", "tables", "documents"]
+_MODULES = ["ledger", "vendors", "statements", "tables", "documents", "streams"]
 
 
 def _collect(attribute: str) -> dict:
