@@ -23,6 +23,10 @@ def dollars(x: str) -> str:
     return f"('$' || format('{{:,.2f}}', CAST({x} AS DOUBLE)))"
 
 
+def percent(x: str) -> str:
+    return f"(CAST(CAST(round_even({x} * 100, 0) AS INTEGER) AS VARCHAR) || '%')"
+
+
 def concat_nonempty(sep: str, parts: list[str]) -> str:
     return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), {q(sep)})"
 
@@ -103,22 +107,23 @@ scored AS (
 # --- statements -------------------------------------------------------------------
 
 TXN = """
+named AS (SELECT p_partkey, upper(p_name || ' ' || p_type) AS nm FROM part),
 txn AS (
   SELECT 'stmt_' || CAST(year(o_orderdate) AS VARCHAR) AS statement, o_orderkey AS line_no,
          strftime(o_orderdate, '%m/%d/%Y') AS date_raw, CAST(o_orderdate AS DATE) AS paid_on,
          CASE (o_orderkey // 7) % 10
-           WHEN 0 THEN 'ACH Payment - ' || upper(p_name) || ' LLC'
-           WHEN 1 THEN 'Check ' || CAST(o_orderkey AS VARCHAR) || ' - ' || upper(p_name)
+           WHEN 0 THEN 'ACH Payment - ' || nm || ' LLC'
+           WHEN 1 THEN 'Check ' || CAST(o_orderkey AS VARCHAR) || ' - ' || nm
            WHEN 2 THEN 'Check #' || CAST(o_orderkey AS VARCHAR)
            WHEN 3 THEN 'PAYROLL DIRECT DEP'
            WHEN 4 THEN 'TRANSFER TO SAVINGS'
            WHEN 5 THEN 'OPENING BALANCE'
-           WHEN 6 THEN 'Debit Card - ' || upper(p_name) || ' INC'
+           WHEN 6 THEN 'Debit Card - ' || nm || ' INC'
            WHEN 7 THEN 'MONTHLY FEE'
            WHEN 8 THEN 'INTEREST EARNED'
-           ELSE upper(p_name) || ' LAW GROUP' END AS description,
+           ELSE nm || ' LAW GROUP' END AS description,
          CAST(CAST(round(o_totalprice * 100) AS BIGINT) // 1000 AS DECIMAL(18,2)) / 100 AS amount_x
-  FROM orders JOIN part ON p_partkey = o_orderkey % 200),
+  FROM orders JOIN named ON p_partkey = o_orderkey % (SELECT count(*) FROM part)),
 tx AS (SELECT * EXCLUDE (amount_x), CAST(amount_x AS DECIMAL(18,2)) AS amount FROM txn)
 """
 
@@ -169,7 +174,7 @@ def title_case(col: str, keep) -> str:
     )
 
 
-def _normal(src: str, raw: str, noise, suffixes: str, keep, exclude: bool) -> str:
+def _normal(src: str, raw: str, noise, suffixes: str, keep, exclude: bool, listed: str = "") -> str:
     reasons = " ".join(f"WHEN regexp_matches(raw_name, {q('(?i)' + p)}) THEN {q(reason_of(p))}" for p in V.NON_VENDOR)
     reason = f"CASE WHEN regexp_matches(trim(raw_name), {q(V.EMBEDDED_AMOUNT)}) THEN 'embedded_amount' {reasons} ELSE '' END" if exclude else "''"
     return f"""
@@ -179,16 +184,17 @@ n1 AS (SELECT *, {reason} AS norm_reason,
 n2 AS (SELECT *, nullif(replace(regexp_extract(cleaned0, {q(suffixes)}, 1), '.', ''), '') AS ent0,
          CASE WHEN regexp_matches(cleaned0, {q(suffixes)})
               THEN trim(regexp_replace(trim(regexp_replace(cleaned0, {q(suffixes)}, '')), ',+$', '')) ELSE cleaned0 END AS bare FROM n1),
+{listed.strip() or "n3 AS (SELECT *, NULL AS found, 1.0 AS score, 1.0 AS shown FROM n2)"},
 norm AS (
   SELECT *, norm_reason <> '' AS norm_excluded,
     CASE WHEN norm_reason <> '' THEN raw_name ELSE cleaned0 END AS cleaned_name,
     CASE WHEN norm_reason <> '' THEN '[EXCLUDED] ' || substr(raw_name, 1, 50)
          WHEN length(bare) < 3 OR regexp_matches(bare, '^\\d+$') THEN 'UNRESOLVED: ' || raw_name
-         ELSE {title_case('bare', keep)} END AS canonical_name,
+         ELSE coalesce(found, {title_case('bare', keep)}) END AS canonical_name,
     CASE WHEN norm_reason = '' THEN ent0 END AS entity_type,
-    CASE WHEN norm_reason <> '' THEN 0.0 ELSE 1.0 END AS match_confidence,
-    norm_reason = '' AND (length(bare) < 3 OR regexp_matches(bare, '^\\d+$')) AS needs_review
-  FROM n2)
+    CASE WHEN norm_reason <> '' THEN 0.0 ELSE shown END AS match_confidence,
+    norm_reason = '' AND (length(bare) < 3 OR regexp_matches(bare, '^\\d+$') OR score < {V.REVIEW_THRESHOLD}) AS needs_review
+  FROM n3)
 """
 
 
@@ -271,7 +277,7 @@ BASE = f"{TXN.strip()},\n{CLASSIFIED.strip()},\n{NORM.strip()}"
 FLAGS = f"""
 fl AS (
   SELECT statement, canonical_name, total_amount, entity_type, match_confidence, needs_review,
-    CASE WHEN match_confidence < 0.80 THEN 'Low name-match confidence' END AS r1,
+    CASE WHEN match_confidence < 0.80 THEN 'Low name-match confidence (' || {percent('match_confidence')} || ') — verify this is the correct payee' END AS r1,
     CASE WHEN total_amount BETWEEN 500 AND 700 THEN 'Near-threshold (' || {dollars('total_amount')} || ') — ' ||
       CASE WHEN total_amount < 600 THEN 'may cross $600 with one more payment' ELSE 'verify all payments captured before filing' END END AS r2,
     CASE WHEN total_amount >= 600 AND coalesce(entity_type, '') = '' THEN 'Entity type unknown — verify LLC/Corp/Individual via W-9 before filing decision' END AS r3,
@@ -299,3 +305,62 @@ nt AS (
   SELECT canonical_name, total_amount, statement FROM sv
   WHERE total_amount BETWEEN 500 AND 700 AND canonical_name NOT IN (SELECT canonical_name FROM cm))
 """
+
+
+# --- similarity of names ------------------------------------------------------------
+
+# the longest common block of a and b as length * 1000 + 999 - start in a; the earliest wins equal lengths
+_BLOCK = """coalesce(list_max(list_transform(range(1, length(a) + 1), lambda i: list_max(list_transform(range(1, length(a) - i + 2),
+    lambda l: CASE WHEN contains(b, substr(a, i, l)) THEN l * 1000 + 999 - i ELSE 0 END)))), 0)"""
+
+
+def common_characters(a: str, b: str) -> str:
+    """How many characters two texts share, each as often as both have it."""
+    return (f"coalesce(list_sum(list_transform(list_distinct(string_split({a}, '')), "
+            f"lambda c: least(length({a}) - length(replace({a}, c, '')), length({b}) - length(replace({b}, c, ''))))), 0)")
+
+
+def ratios(pairs: str) -> str:
+    """``ratio`` (id, ratio) of the rows (id, a, b) of ``pairs``: matching blocks, the longest first, then left and right of it. For WITH RECURSIVE."""
+    return f"""
+blocks(id, a, b, k) AS (
+  SELECT id, a, b, {_BLOCK} FROM {pairs} UNION ALL
+  SELECT id, a, b, {_BLOCK} FROM (
+    SELECT id, unnest([substr(a, 1, i - 1), substr(a, i + l)]) AS a, unnest([substr(b, 1, j - 1), substr(b, j + l)]) AS b FROM (
+      SELECT *, strpos(b, substr(a, i, l)) AS j FROM (SELECT *, k // 1000 AS l, 999 - k % 1000 AS i FROM blocks WHERE k > 0))) WHERE a <> '' AND b <> ''),
+matched AS (SELECT id, sum(k // 1000) AS m FROM blocks GROUP BY id),
+ratio AS (SELECT id, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * CAST(m AS DOUBLE) / (length(a) + length(b)) END AS ratio
+  FROM {pairs} JOIN matched USING (id))
+"""
+
+
+SIMILAR = f"""
+nm AS (SELECT DISTINCT canonical_name AS n FROM sv WHERE canonical_name <> ''),
+np AS (SELECT row_number() OVER () AS id, * FROM (SELECT x.n AS name_a, y.n AS name_b, upper(x.n) AS a, upper(y.n) AS b FROM nm x JOIN nm y ON x.n <> y.n)
+  WHERE 2 * {common_characters('a', 'b')} >= {V.VARIANT_THRESHOLD} * (length(a) + length(b)) - 1e-9),
+{ratios('np').strip()},
+similar_names AS (SELECT name_a, name_b, ratio AS similarity FROM np JOIN ratio USING (id) WHERE ratio >= {V.VARIANT_THRESHOLD}),
+vr AS (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY total_amount DESC, first_seen) AS rank_no FROM sv),
+va AS (SELECT s.*, a.statement AS statement_a, b.statement AS statement_b, a.total_amount AS amount_a, b.total_amount AS amount_b, a.rank_no AS rank_a, b.rank_no AS rank_b
+  FROM similar_names s JOIN vr a ON a.canonical_name = name_a JOIN vr b ON b.canonical_name = name_b WHERE a.statement < b.statement)
+"""
+
+
+# names matched to the vendor list ``vl`` (pos, name), an entry's name without a suffix; of entries that a bound leaves, the best
+_PREFIX = "list_max(list_transform(range(0, least(length(a), length(b)) + 1), lambda k: CASE WHEN substr(a, 1, k) = substr(b, 1, k) THEN k ELSE 0 END))"
+MATCHED_NORM = _normal("cl", PRECLEAN, V.NOISE, suffix_regex(), V.KEEP_UPPER, True, f"""
+mb AS (SELECT DISTINCT bare AS a FROM n2 WHERE norm_reason = ''),
+me AS (SELECT upper(name) AS b, min(pos) AS pos, arg_min(name, pos) AS name FROM vl GROUP BY 1),
+mc AS (SELECT a, b, 2.0 * {common_characters('a', 'b')} / (length(a) + length(b)) AS most, 2.0 * {_PREFIX} / (length(a) + length(b)) AS least_ratio FROM mb, me),
+mp AS (SELECT row_number() OVER () AS id, a, b FROM (SELECT *, max(least_ratio) OVER (PARTITION BY a) AS floor_ratio FROM mc) WHERE most >= floor_ratio - 1e-9),
+{ratios('mp').strip()},
+mr AS (SELECT a, name AS near, ratio AS near_score, row_number() OVER (PARTITION BY a ORDER BY ratio DESC, pos) AS k FROM mp JOIN ratio USING (id) JOIN me USING (b)),
+n3 AS (SELECT n2.*, CASE WHEN near_score >= {V.MATCH_THRESHOLD} THEN near END AS found, coalesce(near_score, 0.0) AS score,
+         CAST(format('{{:.2f}}', coalesce(near_score, 0.0)) AS DOUBLE) AS shown FROM n2 LEFT JOIN mr ON a = bare AND k = 1)
+""")
+KNOWN_TYPES = ("ECONOMY", "PROMO", "LARGE")
+VENDOR_LIST = f"""
+vl AS (SELECT min(p_partkey) AS pos, array_to_string(list_transform(string_split(p_name || ' ' || p_type, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS name
+  FROM part WHERE p_type IN ({", ".join(q(t) for t in KNOWN_TYPES)}) GROUP BY 2)
+"""
+MATCHED_BASE = f"{TXN.strip()},\n{CLASSIFIED.strip()},\n{VENDOR_LIST.strip()},\n{MATCHED_NORM.strip()}"

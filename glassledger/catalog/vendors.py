@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.similarity import ratio_of
 from ..functions.text import dollars as money_text
 from ..operators import classify_rows as C
 from ..operators import cross_check as X
@@ -16,8 +17,8 @@ from ..operators import vendor_rollup as V
 from ..plans.adapters import statement_rows, table
 from ..plans.consolidation import consolidate, normalised_rows, statement_vendors
 from ..rules import vendors as R
-from .sql import (BASE, CLASSIFIED, CROSS, FLAGS, PRECLEAN, POOLED, STATEMENT_VENDORS, TXN, concat_nonempty, dollars,
-                  eligibility, q, rollup, with_, worksheet_norm)
+from .sql import (BASE, CLASSIFIED, CROSS, FLAGS, KNOWN_TYPES, MATCHED_BASE, PRECLEAN, POOLED, SIMILAR, STATEMENT_VENDORS, TXN, concat_nonempty, dollars,
+                  eligibility, percent, q, ratios, rollup, with_, worksheet_norm)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -108,18 +109,29 @@ def vendor_names(spark, sf):
 
 
 def vendor_master(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third part's name, once, as the list of known vendors."""
-    names = table(spark, sf, "part").where("p_partkey % 3 = 0")
-    first = names.groupBy("p_name").agg(F.min("p_partkey").alias("pos"))
-    return first.select("pos", F.initcap("p_name").alias("name"))
+    """The list of known vendors: parts of three types. That it leaves names out is its point, as those must find the nearest entry."""
+    name = F.initcap(F.concat("p_name", F.lit(" "), "p_type")).alias("name")
+    return table(spark, sf, "part").where(F.col("p_type").isin(*KNOWN_TYPES)).groupBy(name).agg(F.min("p_partkey").alias("pos"))
 
 
-@query("vendor_names_matched")
+@query("vendor_names_matched", "WITH RECURSIVE " + MATCHED_BASE + f"\nSELECT {', '.join(_NORM)} FROM norm")
 def vendor_names_matched(spark, sf):
     """Names matched to the vendor list by similarity."""
     return normalised_rows(classified(spark, sf), vendor_master(spark, sf)).select(*_NORM)
 
 
+@query("name_ratios", f"""WITH RECURSIVE
+pn AS (SELECT p_partkey, upper(p_name || ' ' || p_type) AS n FROM part),
+pp AS (SELECT x.p_partkey AS id, x.n AS a, y.n AS b FROM pn x JOIN pn y ON y.p_partkey = x.p_partkey + 1),
+{ratios('pp').strip()}
+SELECT id AS p_partkey, ratio AS similarity FROM ratio""")
+def name_ratios(spark, sf):
+    """The similarity of every part's name to the next part's."""
+    part = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" "), "p_type").alias("n"))
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("n").alias("n_next"))
+    return part.join(after, "p_partkey").select("p_partkey", ratio_of(F.col("n"), F.col("n_next")).alias("similarity"))
+
+
 # --- rollups ----------------------------------------------------------------------
 
 _ROLL = ["canonical_name", "entity_type", "transaction_count", "first_payment_date", "last_payment_date",
@@ -236,6 +248,15 @@ def review_signals(spark, sf):
     return v.select("statement", "canonical_name", "low_match", "near_threshold", "unknown_entity", "normalisation")
 
 
+@query("review_signals_matched", "WITH RECURSIVE " + MATCHED_BASE + ",\n" + STATEMENT_VENDORS.strip() + ",\n" + FLAGS.strip() +
+       "\nSELECT statement, canonical_name, match_confidence, r1 AS low_match, r2 AS near_threshold, r3 AS unknown_entity, r4 AS normalisation FROM fl2")
+def review_signals_matched(spark, sf):
+    """The signals of vendors that were looked up in a list of known ones; many are only like an entry."""
+    rows = C.fill_defaults(classified(spark, sf))
+    v = flags.with_signals(V.roll_up_descriptions(rows, ["statement"], vendor_master(spark, sf)))
+    return v.select("statement", "canonical_name", "match_confidence", "low_match", "near_threshold", "unknown_entity", "normalisation")
+
+
 @query("cross_statement_matches", _SV + CROSS.strip() + f"\nSELECT canonical_name, statement_count, {dbl('combined_total')}, transaction_count, crosses AS crosses_threshold_combined_only FROM cm")
 def cross_statement_matches(spark, sf):
     m = X.cross_matches(X.enough_statements(rolled(spark, sf)))
@@ -283,19 +304,41 @@ def review_reasons(spark, sf):
     return r.select("statement", "canonical_name", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("review_reasons_with_variants")
+_VARIANT_REASONS = SIMILAR.strip() + f""",
+rs7 AS (SELECT ph, pos, statement, canonical_name, reason FROM rs UNION ALL
+  SELECT 7, statement_a || statement_b || lpad(CAST(rank_a AS VARCHAR), 9, '0') || lpad(CAST(rank_b AS VARCHAR), 9, '0'),
+    unnest([statement_a, statement_b]), unnest([name_a, name_b]), 'Name variant detected — "' || name_a || '" in ' || statement_a || ' ~ "' || name_b ||
+    '" in ' || statement_b || ' (' || {percent('similarity')} || ' similar)' FROM va),
+rv AS (SELECT statement, canonical_name, string_agg(reason, '; ' ORDER BY ph, pos) AS reasons, bool_or(ph = 7) AS name_variant_detected,
+  bool_or(ph = 6) AS cross_statement_mismatch, bool_or(ph = 2) AS near_threshold, bool_or(ph = 1) AS low_match_confidence,
+  bool_or(ph = 3) AS unknown_entity_over_threshold FROM rs7 GROUP BY 1, 2)
+"""
+_ALL_VARIANTS = "WITH RECURSIVE" + _ALL.removeprefix("WITH") + ",\n" + _VARIANT_REASONS.strip()
+
+
+@query("review_reasons_with_variants", _ALL_VARIANTS + """
+SELECT statement, canonical_name, reasons, name_variant_detected, cross_statement_mismatch, near_threshold, low_match_confidence, unknown_entity_over_threshold FROM rv""")
 def review_reasons_with_variants(spark, sf):
     r = consolidate(classified(spark, sf)).reasons
     return r.select("statement", "canonical_name", F.array_join("reasons", "; ").alias("reasons"), "name_variant_detected",
                     "cross_statement_mismatch", "near_threshold", "low_match_confidence", "unknown_entity_over_threshold")
 
 
-@query("similar_vendor_names")
+_SIMILAR = "WITH RECURSIVE" + _SV.removeprefix("WITH") + SIMILAR.strip() + "\n"
+
+
+@query("similar_vendor_names", _SIMILAR + "SELECT name_a, name_b, similarity FROM similar_names")
 def similar_vendor_names(spark, sf):
     return X.similar_names(rollup_of(spark, sf, "statement"))
 
 
-@query("name_variants")
+@query("name_variants", _SIMILAR.rstrip() + f""",
+vf AS (SELECT *, upper(name_a) > upper(name_b) AS swap, row_number() OVER (PARTITION BY least(upper(name_a), upper(name_b)), greatest(upper(name_a), upper(name_b))
+  ORDER BY statement_a, statement_b, rank_a, rank_b) AS k FROM va)
+SELECT CASE WHEN swap THEN statement_b ELSE statement_a END AS statement_a, CASE WHEN swap THEN name_b ELSE name_a END AS name_a,
+  CASE WHEN swap THEN statement_a ELSE statement_b END AS statement_b, CASE WHEN swap THEN name_a ELSE name_b END AS name_b,
+  {percent('similarity')} AS similarity, CASE WHEN swap THEN {dollars('amount_b')} || ' / ' || {dollars('amount_a')}
+  ELSE {dollars('amount_a')} || ' / ' || {dollars('amount_b')} END AS amounts FROM vf WHERE k = 1""")
 def name_variants(spark, sf):
     v = X.enough_statements(rolled(spark, sf))
     return P.variant_sheet(X.name_variants(v, X.similar_names(v)))
@@ -334,23 +377,27 @@ def transaction_sheet(spark, sf):
     return P.transaction_sheet(normal(spark, sf)).withColumn("amount", F.col("amount").cast("double"))
 
 
-@query("master_vendor_sheet", _ALL + ",\n" + eligibility("ev", "sv").strip() + f""",
+def _master_sheet(everything: str, reasons: str) -> str:
+    return everything + ",\n" + eligibility("ev", "sv").strip() + f""",
 xr AS (SELECT a.statement, a.canonical_name, string_agg(b.statement || ': ' || {dollars('b.total_amount')}, '; ' ORDER BY b.statement) AS cross_reference
   FROM sv a JOIN sv b ON a.canonical_name = b.canonical_name AND a.statement <> b.statement GROUP BY 1, 2)
 SELECT canonical_name AS vendor, statement, coalesce(entity_type, 'Individual?') AS entity_type, CAST(total_amount AS DOUBLE) AS total_paid,
   transaction_count AS payments, coalesce(first_payment_date, '') AS first_payment, coalesce(last_payment_date, '') AS last_payment,
   form_type AS form_1099, match_confidence, 1.0::DOUBLE AS extraction_confidence, CASE WHEN reasons IS NULL THEN 'NO' ELSE 'YES' END AS review_needed,
   coalesce(reasons, '') AS review_reasons, coalesce(cross_reference, '') AS cross_reference
-FROM ev LEFT JOIN rl USING (statement, canonical_name) LEFT JOIN xr USING (statement, canonical_name)""")
+FROM ev LEFT JOIN {reasons} USING (statement, canonical_name) LEFT JOIN xr USING (statement, canonical_name)"""
+
+
+@query("master_vendor_sheet", _master_sheet(_ALL, "rl"))
 def master_vendor_sheet(spark, sf):
     c = consolidate(classified(spark, sf), with_variants=False)
     return P.master_vendor_sheet(c.vendors, c.reasons).withColumn("total_paid", F.col("total_paid").cast("double"))
 
 
-@query("master_vendor_sheet_with_variants")
+@query("master_vendor_sheet_with_variants", _master_sheet(_ALL_VARIANTS, "rv"))
 def master_vendor_sheet_with_variants(spark, sf):
     c = consolidate(classified(spark, sf))
-    return P.master_vendor_sheet(c.vendors, c.reasons)
+    return P.master_vendor_sheet(c.vendors, c.reasons).withColumn("total_paid", F.col("total_paid").cast("double"))
 
 
 _POOL = "WITH " + BASE + ",\n" + POOLED.strip() + ",\n" + eligibility("pe", "pv").strip()

@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import common_character_bound, ratio
+from ..functions.similarity import Target, common_character_bound
 from ..functions.text import dollars, percent
 from ..rules import vendors as R
 from . import review_flags as flags
 
-PAIR_BLOCK = 1000
+PAIR_BLOCK = 256
 PART_ROWS = 2000
 
 
@@ -153,8 +153,9 @@ def similar_names(names: DataFrame, threshold: float = R.VARIANT_THRESHOLD) -> D
 
     Exact. Two such names have lengths within a factor t/(2-t), so names are put
     in bands of lengths and only neighbouring bands meet; within bands, blocks of
-    some ``PAIR_BLOCK`` names meet pairwise, one task per pair of blocks, and the
-    common-character bound is computed for a whole block at once before any ratio.
+    some ``PAIR_BLOCK`` names meet pairwise. Of a pair of blocks the common-character
+    bound is computed at once, that of the common subsequence for the pairs it leaves,
+    and the ratio for those that both leave.
     """
     reach = threshold / (2 - threshold)
     names = names.select(F.col("canonical_name").alias("name")).distinct().where("name <> ''")
@@ -189,16 +190,22 @@ def similar_names(names: DataFrame, threshold: float = R.VARIANT_THRESHOLD) -> D
         rows = []
         if left and right:
             near = common_character_bound(left, right) >= threshold
+            if lo == hi:
+                near = np.triu(near, 1)
+            targets = {name: Target(name) for name in {*left, *right}}
             for i, j in zip(*np.nonzero(near)):
-                if lo == hi and j <= i:
-                    continue
-                for a, b in ((left[i], right[j]), (right[j], left[i])):
-                    s = ratio(a, b)
-                    if s >= threshold:
-                        rows.append((a, b, s))
+                a, b = left[i], right[j]
+                if targets[b].bound(a.upper()) >= threshold:
+                    for x, y in ((a, b), (b, a)):
+                        s = targets[y].ratio(x.upper())
+                        if s >= threshold:
+                            rows.append((x, y, s))
         return pd.DataFrame(rows, columns=["name_a", "name_b", "similarity"])
 
-    return met.groupBy("lo", "hi").applyInPandas(compare, "name_a string, name_b string, similarity double")
+    # small rows, costly comparisons: not to be put together into few tasks by size
+    n_pairs = at * (at + 1) // 2
+    dealt = met.repartition(min(n_pairs, 4 * names.sparkSession.sparkContext.defaultParallelism), "lo", "hi")
+    return dealt.groupBy("lo", "hi").applyInPandas(compare, "name_a string, name_b string, similarity double")
 
 
 def variant_appearances(vendors: DataFrame, similar: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import common_character_bound, ratio
+from ..functions.similarity import Target, common_character_bound
 from ..functions.text import one_of, squeeze, strip
 from ..plans.joins import join_summary, measure_keys
 from ..rules import vendors as R
 
 LEADING_REGEX = r"(?i)^(?:\s*(?:" + "|".join(R.LEADING_DESCRIPTORS) + r")\s*[-–:]\s*)+"
-BLOCK_NAMES = 1000
+BLOCK_NAMES = 256
 
 
 @dataclass(frozen=True)
@@ -108,14 +108,20 @@ def nearest_in_list(
     """Best list entry for each distinct ``bare_name``: (bare_name, match, score, shown_score).
 
     ``vendor_list`` has ``pos`` and ``name``; the earlier entry wins equal scores.
-    Names and list are cut into blocks of some ``BLOCK_NAMES`` each, every pair
-    of blocks is one task, and only the best of each block leaves it, so neither
-    side is ever held whole. The best score is kept even below any threshold.
+    A name that is an entry, capitals aside, has the only score of 1 and is found by a join.
+    The others and the list are cut into blocks of some ``BLOCK_NAMES`` each, and only the best of each
+    pair of blocks leaves it, so neither side is ever held whole. Within a block entries are taken by
+    falling bounds, until the next bound is below the best score; that score is kept even below any threshold.
     """
     names = names.select("bare_name").distinct()
     entries = vendor_list.select("pos", "name", without_suffix(F.col("name"), profile).alias("entry"))
+    first = entries.groupBy(F.upper("entry").alias("_entry")).agg(F.min(F.struct("pos", "name")).alias("_first"))
+    looked_up = names.join(first, F.upper("bare_name") == F.col("_entry"), "left")
+    equal = looked_up.where("_entry IS NOT NULL AND _entry <> ''").select(
+        "bare_name", F.col("_first")["name"].alias("match"), F.lit(1.0).alias("score"), F.lit(1.0).alias("shown_score"))
+    others = looked_up.where("_entry IS NULL OR _entry = ''").select("bare_name")
     nb, lb = _blocks(names.count() if n_names is None else n_names), _blocks(entries.count())
-    left = names.select(
+    left = others.select(
         "bare_name",
         F.pmod(F.xxhash64("bare_name"), F.lit(nb)).alias("nb"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lb - 1).cast("long"))).alias("lb"),
@@ -133,30 +139,35 @@ def nearest_in_list(
         texts = a["bare_name"].tolist()
         if entries_ and texts:
             bound = common_character_bound(texts, entries_)
+            targets = [Target(e) for e in entries_]
             for i, t in enumerate(texts):
-                score, at = 0.0, None
-                # most promising first; a candidate whose bound cannot beat the best is passed over
+                upper, score, at = t.upper(), 0.0, None
                 for j in np.argsort(-bound[i], kind="stable"):
                     if bound[i, j] < score:
                         break
-                    s = ratio(t, entries_[j])
+                    if targets[j].bound(upper) < score:
+                        continue
+                    s = targets[j].ratio(upper)
                     if s > score or (s == score and s > 0 and j < at):
                         score, at = s, j
                 if at is not None:
                     rows.append((t, shown[at], pos[at], score, round(score, 2)))
         return pd.DataFrame(rows, columns=["bare_name", "match", "pos", "score", "shown_score"])
 
+    # small rows, costly comparisons: not to be put together into few tasks by size
+    tasks = min(nb * lb, 4 * names.sparkSession.sparkContext.defaultParallelism)
     found = (
-        left.groupBy("nb", "lb")
-        .cogroup(right.groupBy("nb", "lb"))
+        left.repartition(tasks, "nb", "lb").groupBy("nb", "lb")
+        .cogroup(right.repartition(tasks, "nb", "lb").groupBy("nb", "lb"))
         .applyInPandas(best, "bare_name string, match string, pos long, score double, shown_score double")
     )
     best_first = F.struct("score", -F.col("pos"))
-    return found.groupBy("bare_name").agg(
+    nearest = found.groupBy("bare_name").agg(
         F.max_by("match", best_first).alias("match"),
         F.max("score").alias("score"),
         F.max("shown_score").alias("shown_score"),
     )
+    return equal.unionByName(nearest)
 
 
 # --- the whole normalisation -------------------------------------------------

@@ -28,18 +28,19 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_NAME_KEYS = 200
+def dealt_orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Narrow order rows dealt out by their key, as costly text rules follow: one large file would else be one task."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", *columns).repartition("o_orderkey")
 
 
 def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as lines of yearly bank statements."""
-    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
-    # p_partkey is a primary key, so the filtered side holds at most _NAME_KEYS rows
-    names = F.broadcast(
-        part.where(f"p_partkey >= 0 AND p_partkey < {_NAME_KEYS}").select("p_partkey", F.upper("p_name").alias("nm"))
-    )
+    """Orders as lines of yearly bank statements; every part in turn names the payee."""
+    part = table(spark, sf_dir, "part")
+    names = part.select("p_partkey", F.upper(F.concat("p_name", F.lit(" "), "p_type")).alias("nm"))
+    n_parts = part.agg(F.count("*").alias("n")).scalar()
     key = F.col("o_orderkey")
-    rows = orders.join(names, F.col("p_partkey") == key % _NAME_KEYS)
+    orders = dealt_orders(spark, sf_dir, "o_orderdate", "o_totalprice").withColumn("_part", key % n_parts)
+    rows = orders.join(names, F.col("p_partkey") == F.col("_part"))
     no, nm = key.cast("string"), F.col("nm")
     kind = F.floor(key / 7) % 10
     text = (
@@ -132,7 +133,7 @@ def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transcribed statement rows, one statement per customer."""
     kinds = ["deposit", "interest", "reimbursement", "vendor_payment", "check_payment", "transfer", "owner_draw", "bank_fee", "unknown"]
     cents = F.floor(F.round(F.col("o_totalprice") * 100).cast("bigint") / 1000).cast("bigint")
-    return table(spark, sf_dir, "orders").select(
+    return dealt_orders(spark, sf_dir, "o_custkey", "o_orderdate", "o_totalprice").select(
         F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")).alias("statement"), F.col("o_custkey").alias("_cust"),
         F.col("o_orderkey").alias("line_no"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("date_raw"),
         F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("o_orderkey") % 9).cast("int")).alias("transaction_type"),
