@@ -4,8 +4,9 @@ A text's set holds its distinct shingles of five words (A-Z lower-cased). Texts
 document goes down independent trees. A root chooses two of the ``TOKENS`` minwise tokens of a document, every other
 node one, and a second with such a probability that it makes 1 / bound on average (``branching``): documents of less than that
 similarity part on the way down, others stay together. Each token chosen names a child. Nodes of up to ``SMALL`` documents are
-compared exhaustively; larger ones branch again, by several levels a job (``STEPS``). From the second step on a large
-node also compares all its documents with its smallest one, and once links are known, nodes whose documents are
+compared exhaustively; larger ones branch again, by several levels a job (``STEPS``). Before that, the nodes of the first ``STARS``
+trees, and at every step all large nodes, compare their documents with their smallest one. Rows go down the trees
+with the component known so far, and nodes whose documents are
 all connected are done: whatever links they hold join nothing new; a node with few pairs left open (``SMALL`` for each of
 its documents) has just those compared. Nodes still large and mixed after the last step
 are compared in full. Pairs that agree in fewer than ``fewest_common`` tokens are passed over (pairs at the bound do so with
@@ -20,7 +21,7 @@ several texts has the links of all of them. Ties: the smallest doc_id stays. An
 """
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, comb
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glassledger.llm.store import components, keep
+from glassledger.llm.store import components, forget, keep
 from glassledger.llm.words import Texts, grams, lower_ascii, map_texts, mix, runs, texts_of
 
 SHINGLE = 5
@@ -36,6 +37,7 @@ SIMILAR = 85
 TOKENS = 128
 MISS = 0.07
 SMALL = 12
+STARS = 2
 STEPS = (1, 3, 4, 4, 4, 4, 4, 4, 4)
 
 
@@ -126,7 +128,8 @@ def _branch(levels: int, again: float, first: bool = False):
                 place = np.concatenate([place, other[more]])
                 node, at = np.concatenate([node, node[more]]), np.concatenate([at, at[more]])
                 node = mix(mix(node, 57) ^ (place << np.uint64(32)) ^ tokens[at, place.astype(np.int64)], 59)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("doc").take(pa.array(at))], ["node", "doc"])
+            kept = [name for name in batch.schema.names if name not in ("node", "tokens")]
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(batch.column(name).take(pa.array(at)) for name in kept)], ["node", *kept])
 
     return task
 
@@ -136,7 +139,7 @@ def _roots(trees: int):
         for batch in batches:
             for tree in range(trees):
                 root = np.full(batch.num_rows, mix(np.array([tree], np.uint64), 61)[0]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(root), batch.column("doc"), batch.column("tokens")], ["node", "doc", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(root), *batch.columns], ["node", *batch.schema.names])
 
     return task
 
@@ -181,14 +184,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataF
     return with_both.mapInArrow(task, "a long, b long").distinct()
 
 
-def _sized(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _sized(rows: DataFrame) -> DataFrame:
     """node, doc, comp, least, major, done: the rows of nodes whose documents are not all connected yet.
 
     A node is done with when the pairs not yet connected number SMALL for each of its documents at most."""
-    if labels is None:
-        rows = rows.withColumn("comp", F.col("doc"))
-    else:
-        rows = rows.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").select("node", "doc", F.coalesce("component", "doc").alias("comp"))
     parts = rows.groupBy("node", "comp").agg(F.count("*").alias("_n"), F.min("doc").alias("_low"))
     nodes = (parts.groupBy("node").agg(F.sum("_n").alias("_size"), F.sum(F.col("_n") * F.col("_n")).alias("_squares"), F.min("_low").alias("least"),
                                        F.max(F.struct("_n", "comp")).alias("_most"), F.count("*").alias("_parts")).where(F.col("_parts") > 1))
@@ -197,6 +196,13 @@ def _sized(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(nodes, "node")
 
 
+def _with_components(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The documents with ``comp``, the component that each is known to be in; rows go down the trees with it."""
+    if labels is None:
+        return docs.withColumn("comp", F.col("doc"))
+    return docs.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+
+
 def _open_pairs(rows: DataFrame) -> DataFrame:
     """All pairs of a node that are not connected: those outside its largest part meet all the others."""
     minor = rows.where(F.col("comp") != F.col("major")).select("node", F.col("doc").alias("x"), F.col("comp").alias("_x"))
@@ -214,36 +220,52 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
     classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("low").alias("low"))
     classes = keep(classes, "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens", "low")
-    rows = reps.select("doc", "tokens").mapInArrow(_roots(trees), "node long, doc long, tokens binary").mapInArrow(_branch(steps[0], again, True), "node long, doc long")
-    texts = tested = edges = labels = None
-    waiting: list[DataFrame] = []
+    found: list[DataFrame] = []  # links, round by round
+    tested: list[DataFrame] = []
+    labels = None
+    kind = "node long, doc long, comp long"
+
+    def texts_of_nodes(nodes: DataFrame) -> DataFrame:
+        near = nodes.select(F.col("doc").alias("doc_id")).distinct()
+        return keep(documents.join(near, "doc_id").select(F.col("doc_id").alias("doc"), "text").distinct(), "texts")
+
+    def test(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Compares the pairs not compared before; the components that all links so far give."""
+        pairs = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, pairs.distinct()), "pairs")
+        tested.append(pairs)
+        close = keep(likely(pairs, reps, similar), "close")
+        found.append(keep(confirm(close, texts, similar), "links"))
+        new = components(reduce(DataFrame.unionByName, found))
+        forget(close, labels)
+        return new
+
+    def below(docs: DataFrame, of: int, levels: int) -> DataFrame:
+        roots = docs.select("doc", "comp", "tokens").mapInArrow(_roots(of), "node long, doc long, comp long, tokens binary")
+        return roots.mapInArrow(_branch(levels, again, True), kind)
+
+    # a first look: the nodes of a few trees, all compared with their smallest document, connect what is plainly alike
+    sized = keep(_sized(below(_with_components(reps, None), STARS, 1)), "nodes")
+    texts = texts_of_nodes(sized)
+    labels = test(_star_pairs(sized), texts)
+    forget(sized, texts)
+    sized = keep(_sized(below(_with_components(reps, labels), trees, steps[0])), "nodes")
+    texts = texts_of_nodes(sized)
     for step in range(1, len(steps) + 1):
-        sized = keep(_sized(rows, labels), "nodes")
-        if texts is None:
-            near = sized.select(F.col("doc").alias("doc_id")).distinct()
-            texts = keep(documents.join(near, "doc_id").select(F.col("doc_id").alias("doc"), "text").distinct(), "texts")
-        waiting.append(_open_pairs(sized.where("done")))
-        more = sized.where("not done").limit(1).count() > 0
-        if more and step >= 2:
-            waiting.append(_star_pairs(sized.where("not done")))
-        if more and step == len(steps):
-            waiting.append(_open_pairs(sized.where("not done")))
-        if step >= 2 or not more:
-            pairs = waiting[0]
-            for other in waiting[1:]:
-                pairs = pairs.unionByName(other)
-            pairs = pairs.distinct()
-            pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            close = keep(likely(pairs, reps, similar), "close")
-            found = keep(confirm(close, texts, similar), "links")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
-            waiting = []
+        large = sized.where("not done")
+        more = large.limit(1).count() > 0
+        pairs = _open_pairs(sized.where("done"))
+        if more:
+            pairs = pairs.unionByName(_open_pairs(large) if step == len(steps) else _star_pairs(large))
+        labels = test(pairs, texts)
         if not more or step == len(steps):
             break
-        big = _sized(sized.where("not done").select("node", "doc"), labels).select("node", "doc")
-        rows = big.join(reps, "doc").select("node", "doc", "tokens").mapInArrow(_branch(steps[step], again), "node long, doc long")
+        # nodes whose documents are all connected by now end here, the others branch again
+        joined = large.select("node", "doc").join(_with_components(reps, labels).select("doc", "comp", "tokens"), "doc")
+        mixed = joined.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("_mixed")).where("_mixed").select("node")
+        rows = joined.join(mixed, "node", "left_semi").mapInArrow(_branch(steps[step], again), kind)
+        before, sized = sized, keep(_sized(rows), "nodes")
+        forget(before)
+    forget(sized, texts)
     member = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     member = member.select("digest", F.coalesce("component", "rep").alias("_component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(member, "digest", "left")

@@ -22,24 +22,45 @@ def keep(df: DataFrame, label: str) -> DataFrame:
         df.select("*").write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._kept_path = path
+    return table
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables made by ``keep`` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_kept_path", None)
+        if path:
+            folder, conf = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of an edge (a, b) reaches.
 
-    Every id takes the smallest label of its neighbours, then the label of its label, until none changes. A hub is
-    many partial minima, and its join is split by adaptive execution.
+    Edges are contracted: in turn, every id ties its larger neighbours to its smallest one (large star), then itself and its
+    smaller neighbours to the smallest (small star), until each component is one star. The rounds grow with the logarithm of
+    the longest path, whatever the order of its ids, and no edge is added. A hub is many partial minima, and its join is
+    split by adaptive execution. Each table goes as soon as its successor is written.
     """
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(rounds):
-        heard = (both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id"))
-                 .agg(F.min("component").alias("_heard")))
-        lower = labels.join(heard, "id", "left").select("id", F.col("component").alias("_old"), F.least("component", "_heard").alias("_new"))
-        jump = labels.select(F.col("id").alias("_new"), F.col("component").alias("_jump"))
-        new = keep(lower.join(jump, "_new", "left").select("id", "_old", F.least("_new", "_jump").alias("component")), "labels")
-        labels = new.drop("_old")
-        if new.where(F.col("_old") != F.col("component")).limit(1).count() == 0:
-            return labels
-    raise RuntimeError("labels have not settled")
+    now, mark = keep(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "edges"), None
+    while True:
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            break
+        mark = seen
+        both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
+        least = both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least"))
+        large = both.where("m > v").join(least, "v").select(F.col("m").alias("v"), F.col("least").alias("m"))
+        large = keep(large.where("v <> m").distinct(), "edges")
+        forget(now)
+        least = large.groupBy("v").agg(F.min("m").alias("least"))
+        small = large.join(least, "v")
+        ties = small.select("v", F.col("least").alias("m")).unionByName(small.select(F.col("m").alias("v"), F.col("least").alias("m")))
+        now = keep(ties.where("v <> m").distinct(), "edges")
+        forget(large)
+    tops = now.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct()
+    labels = now.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(tops)
+    labels._kept_path = now._kept_path
+    return labels

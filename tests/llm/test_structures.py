@@ -4,7 +4,8 @@ import random
 import duckdb
 import pytest
 
-from glassledger.llm import merkle, prefix_trie, warc
+from glassledger.llm import merkle, near_dedup, prefix_trie, warc
+from glassledger.llm.store import components
 from oracle_check import compare
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string, head string, seq binary"
@@ -113,3 +114,54 @@ def test_warc_keeps_what_is_whole(spark, tmp_path):
     got = sorted((r.file.rsplit("/")[-1], r.offset, r.record_type, bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path)).collect())
     assert got == [("broken.warc", 0, "resource", b"one"), ("good.warc", 0, "warcinfo", b"a: b"), ("good.warc", second, "resource", b"\xff\xfe WARC/1.1\r\n"),
                    ("short.warc", 0, "resource", b"one")]
+
+
+@pytest.mark.parametrize("order", ["path", "hostile", "random"])
+def test_components_of_long_chains(spark, order):
+    """Chains whose ids run against the labels; rounds must grow with the logarithm of their length only."""
+    n = 500
+    ids = list(range(n)) if order == "path" else [0, *range(n - 1, 0, -1)] if order == "hostile" else random.Random(1).sample(range(n), n)
+    edges = [(a, b) for a, b in zip(ids, ids[1:])] + [(1000, 1001), (1001, 1000), (2000, 2000), (1001, 1002)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_components_of_nothing(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def revisions(n, seed=6):
+    """A chain of texts, each linked with its neighbours only, under hostile ids."""
+    draw = random.Random(seed)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    ids = [0, *range(n - 1, 0, -1)]
+    out = []
+    for i in ids:
+        out.append((i, " ".join(words)))
+        words = words[2:] + [f"w{draw.randrange(10**6)}" for _ in range(2)]
+    return out
+
+
+def test_near_duplicates_of_a_chain_of_revisions(spark):
+    """120 revisions: 97 of a hundred shingles stay from one to the next, so two and more steps are linked as well, the ends are not."""
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in revisions(120)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.component_id for r in near_dedup.near_duplicates(df).collect()} == {0}
+
+
+def test_recall_in_a_large_group_of_barely_similar_texts(spark):
+    """300 texts around one base, pairs of some 0.80 to 0.90: at least nine in ten of the documents that brute force joins must be joined."""
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in draw.sample(range(200), draw.choice((1, 2, 3))):
+            words[at] = f"x{draw.randrange(10**6)}"
+        texts.append((i, " ".join(words)))
+    from test_llm import brute_links
+
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_links(texts)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    joined = [i for i, (_, c) in want.items() if c != i]
+    assert len(joined) > 200 and sum(got[i] == want[i][1] for i in joined) >= 0.9 * len(joined)
