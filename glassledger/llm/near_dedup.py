@@ -220,7 +220,6 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
     classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("low").alias("low"))
     classes = keep(classes, "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens", "low")
-    found: list[DataFrame] = []  # links, round by round
     tested: list[DataFrame] = []
     labels = None
     kind = "node long, doc long, comp long"
@@ -234,9 +233,14 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
         pairs = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, pairs.distinct()), "pairs")
         tested.append(pairs)
         close = keep(likely(pairs, reps, similar), "close")
-        found.append(keep(confirm(close, texts, similar), "links"))
-        new = components(reduce(DataFrame.unionByName, found))
-        forget(close, labels)
+        links = keep(confirm(close, texts, similar), "links")
+        forget(close)
+        if labels is not None and not links.take(1):
+            return labels
+        if labels is not None:
+            links = links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        new = components(links)
+        forget(labels)
         return new
 
     def below(docs: DataFrame, of: int, levels: int) -> DataFrame:
