@@ -15,6 +15,7 @@ from glassledger.llm.mixing import mixture
 from glassledger.llm.near_dedup import near_duplicates
 from glassledger.llm.quality_classifier import good_documents
 from glassledger.llm.store import keep
+from glassledger.plans.joins import where_computed
 from glassledger.session import ship_package
 
 SIMILAR = 80
@@ -26,9 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go; documents stay."""
+    """Lines that repeat an earlier one go, and documents of which no word is left; others stay."""
     ship_package(spark)
-    return without_repeated_lines(docs, short_repeats=True)
+    return where_computed(without_repeated_lines(docs, short_repeats=True), F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     ship_package(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = keep(found.where("contaminated").select(F.col("doc_id").alias("_doc")).distinct(), "leaks")
+    leaks = keep(where_computed(found, F.col("contaminated")).select(F.col("doc_id").alias("_doc")).distinct(), "leaks")
     return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_anti")
 
 
