@@ -28,7 +28,6 @@ from .ledger import contamination, raw_tier, tier_cuts
 TREES = 200
 SAMPLE = 256
 SEED = 42
-_Z_PLACES = 9
 _FLAGS = list(R.FLAG_LABELS)
 
 
@@ -49,8 +48,8 @@ def pattern_code() -> Column:
 
 
 def z_value() -> Column:
-    """The z-score with 0 for null; rounded so that equal rows stay equal on any partitioning."""
-    return F.round(F.coalesce(F.col(R.Z_COLUMN), F.lit(0.0)), _Z_PLACES) + F.lit(0.0)
+    """The z-score with 0 for null; exact account sums make it the same on any partitioning. (The sum takes the sign from a zero.)"""
+    return F.coalesce(F.col(R.Z_COLUMN), F.lit(0.0)) + F.lit(0.0)
 
 
 def feature_counts(df: DataFrame) -> DataFrame:

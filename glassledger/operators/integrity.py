@@ -54,7 +54,9 @@ def _has_sides(df: DataFrame) -> bool:
 
 
 def _total(c: Column) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0.0))
+    """An exact sum: money as decimals, so that neither the order of rows nor their number moves it against the tolerance."""
+    money = c.try_cast("decimal(20,4)")
+    return F.coalesce(F.sum(money), F.lit(0)).cast("decimal(38,4)")
 
 
 def hash_total_check(df: DataFrame, tol: float = 0.01) -> Check:
@@ -68,7 +70,8 @@ def hash_total_check(df: DataFrame, tol: float = 0.01) -> Check:
         F.lit("; diff = "), dollars(diff), F.lit("."),
     )
     sums = {"sum_abs": _total(F.abs("amount")), "sum_d": _total(F.col("debit_amount")), "sum_c": _total(F.col("credit_amount"))}
-    return Check("Hash total", sums, diff <= tol, text, {"sum_abs": sum_abs, "sum_dc": sum_dc, "diff": diff})
+    detail = {"sum_abs": sum_abs, "sum_dc": sum_dc, "diff": diff}
+    return Check("Hash total", sums, diff <= F.lit(str(tol)).cast("decimal(18,4)"), text, {k: v.cast("double") for k, v in detail.items()})
 
 
 def cross_footing_check(df: DataFrame, tol: float = 0.01) -> Check:
@@ -77,13 +80,14 @@ def cross_footing_check(df: DataFrame, tol: float = 0.01) -> Check:
         return _skipped("Cross-footing", "Cross-footing check skipped (no debit_amount / credit_amount columns).")
     d, c = F.col("sum_d"), F.col("sum_c")
     diff = F.abs(d - c)
-    pct = diff / F.greatest(d, F.lit(1.0)) * 100
+    pct = diff.cast("double") / F.greatest(d.cast("double"), F.lit(1.0)) * 100
     text = F.concat(
         F.lit("ΣDebit = "), dollars(d), F.lit("; ΣCredit = "), dollars(c),
         F.lit("; diff = "), dollars(diff), F.lit(" ("), F.format_string("%.2f", pct), F.lit("%)."),
     )
     sums = {"sum_d": _total(F.col("debit_amount")), "sum_c": _total(F.col("credit_amount"))}
-    return Check("Cross-footing", sums, diff <= tol, text, {"sum_d": d, "sum_c": c, "diff": diff, "pct": pct})
+    detail = {"sum_d": d, "sum_c": c, "diff": diff, "pct": pct}
+    return Check("Cross-footing", sums, diff <= F.lit(str(tol)).cast("decimal(18,4)"), text, {k: v.cast("double") for k, v in detail.items()})
 
 
 def period_check(start: date | None, end: date | None) -> Check:

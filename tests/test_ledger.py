@@ -151,3 +151,24 @@ def test_summary_join_beyond_the_bound(gl, monkeypatch):
 def test_integrity_skips(gl):
     got = {r["name"]: r for r in integrity.integrity_checks(ledger.clean_ledger(gl)).collect()}
     assert all(r["status"] == "Pass" and "skipped" in r["summary"] for r in got.values())
+
+
+def test_account_statistics_do_not_depend_on_partitioning(spark):
+    """Same bits for any order and number of parts; a constant account has no spread."""
+    import statistics
+
+    draw = random.Random(3)
+    rows = [(f"a{i % 3}", round(draw.uniform(0.01, 99_999), 2)) for i in range(999)] + [("same", 0.1)] * 7 + [("none", None), (None, 5.0)]
+    seen = set()
+    for parts in (1, 7, 16):
+        draw.shuffle(rows)
+        df = spark.createDataFrame(rows, "account_name string, abs_amount double").repartition(parts)
+        seen.add(tuple(sorted((r["account_name"], r["_mean"], r["_std"]) for r in ledger.account_stats(df).collect() if r["account_name"] != "none")))
+        total = df.agg(integrity._total(F.col("abs_amount")).alias("t")).first()["t"]
+        seen.add(("total", total))
+    assert len(seen) == 2
+    stats = next(dict((a, (m, s)) for a, m, s in x) for x in seen if x[0] != "total")
+    assert stats["same"] == (pytest.approx(0.1), 0.0)
+    for a in ("a0", "a1", "a2"):
+        values = [v for name, v in rows if name == a]
+        assert stats[a] == pytest.approx((statistics.fmean(values), statistics.pstdev(values)), rel=1e-12)
