@@ -1,6 +1,8 @@
 """Document, retrieval and routing queries over the benchmark tables."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +137,35 @@ def retrieved_chunks(spark, sf):
     return R.retrieve(vector_chunks(spark, sf), query_vector(spark, sf)).select("doc_set", "chunk_id", "rank")
 
 
+_ASKED = {
+    "answered": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority",
+    "one row": "SELECT count(*) AS n, max(o_orderpriority) AS top FROM orders",
+    "no row": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice < 0",
+    "one null row": "SELECT max(o_orderkey) AS k, max(o_orderpriority) AS p FROM orders WHERE o_totalprice < 0",
+}
+
+
+@query("answered_or_retrieved", "WITH " + _SETS.rstrip().rstrip(",") + f""",
+a1 AS ({_ASKED["answered"]}), a2 AS ({_ASKED["one row"]})
+SELECT 'answered' AS question, 'tables' AS source, CAST(NULL AS INTEGER) AS rank, o_orderpriority || ' | ' || CAST(n AS VARCHAR) AS text FROM a1
+UNION ALL SELECT 'one row', 'tables', NULL, CAST(n AS VARCHAR) || ' | ' || top FROM a2
+UNION ALL SELECT question, 'documents', rank, text FROM rt, (SELECT unnest(['no row', 'one null row']) AS question)""")
+def answered_or_retrieved(spark, sf):
+    """Four questions to the tables; two have no answer there and go to the documents."""
+    Q.register_tables({"orders": table(spark, sf, "orders")})
+    chunks = R.retrieve(vector_chunks(spark, sf), query_vector(spark, sf))
+    asked = [Q.answer_or_retrieve(spark.sql(text), chunks).withColumn("question", F.lit(name)) for name, text in _ASKED.items()]
+    return reduce(DataFrame.unionByName, asked)
+
+
+@query("loaded_tables", "SELECT 'upload_customer' AS table_name UNION SELECT 'upload_orders' UNION SELECT source || '.pdf' FROM documents")
+def loaded_tables(spark, sf):
+    """Two uploaded tables and the files that the documents came from."""
+    Q.register_tables({f"upload_{name}": table(spark, sf, name) for name in ("orders", "customer")})
+    files = table(spark, sf, "documents").select(F.concat("source", F.lit(".pdf")).alias("file_name"))
+    return Q.table_names(spark, "upload_*", files)
+
+
 @query("context_blocks", "WITH " + _SETS + """SELECT doc_set, string_agg('[' || CAST(rank AS VARCHAR) || '] (p.' || CAST(page AS VARCHAR) || ') ' || text, chr(10) || chr(10) ORDER BY rank) AS context,
   array_to_string(list_transform(list_sort(list(DISTINCT page)), lambda p: CAST(p AS VARCHAR)), ', ') AS source_pages, count(*) AS chunks_used FROM rt GROUP BY 1""")
 def context_blocks(spark, sf):

@@ -110,9 +110,9 @@ def _sample_sql(col: str) -> str:
 
 @query("schema_profile", " UNION ALL ".join(
     f"SELECT 'orders' AS table_name, {i} AS position, {q(c)} AS column_name, (SELECT count(*) FROM orders) AS rows, {_sample_sql(c)} AS samples"
-    for i, c in enumerate(["o_orderkey", "o_orderstatus", "o_orderpriority"], 1)))
+    for i, c in enumerate(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], 1)))
 def schema_profile(spark, sf):
-    p = R.schema_profile(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "orders")
+    p = R.schema_profile(table(spark, sf, "orders"), "orders")
     return p.select("table_name", "position", "column_name", "rows", F.array_join("samples", ", ").alias("samples"))
 
 

@@ -51,6 +51,34 @@ def ask_tables(spark: SparkSession, sql: str) -> DataFrame | None:
     return df
 
 
+def has_answer(result: DataFrame) -> Column:
+    """Whether a result is an answer, as a scalar that is part of a plan: it has two rows, or one that is not all null."""
+    filled = F.lit(False)
+    for c in result.columns:
+        filled = filled | F.col(f"`{c}`").isNotNull()
+    return result.limit(2).agg(((F.count("*") > 1) | (F.count_if(filled) > 0)).alias("x")).scalar()
+
+
+def answer_or_retrieve(result: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """The rows of a table query as text, or the retrieved chunks where the query has no answer: (source, rank, text).
+
+    One lazy plan: the answer is looked at by a scalar subquery, which switches either side off before it is read.
+    """
+    found = has_answer(result)
+    row = F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in result.columns])
+    answer = result.where(found).select(F.lit("tables").alias("source"), F.lit(None).cast("int").alias("rank"), row.alias("text"))
+    chunks = retrieved.where(~found).select(F.lit("documents").alias("source"), F.col("rank").cast("int").alias("rank"), "text")
+    return answer.unionByName(chunks)
+
+
+def table_names(spark: SparkSession, like: str = "*", files: DataFrame | None = None) -> DataFrame:
+    """What is loaded: registered tables whose names are ``like`` a pattern and, if given, the ``file_name`` of documents; each once, in order."""
+    loaded = spark.sql(f"SHOW VIEWS LIKE '{like}'").where("isTemporary").select(F.col("viewName").alias("table_name"))
+    if files is not None:
+        loaded = loaded.unionByName(files.select(F.col("file_name").alias("table_name")))
+    return loaded.distinct().orderBy("table_name")
+
+
 # --- vendor master -----------------------------------------------------------------
 
 

@@ -1,6 +1,9 @@
 """Type repair of all-text tables: money to numbers, dates to ISO companions."""
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,31 +102,43 @@ def looks_like_data(cells: Column) -> Column:
     return F.exists(cells, is_data)
 
 
+def _least_values(k: int):
+    """A task's number of rows and, for each column, the ``k`` least distinct values."""
+    def task(batches):
+        rows, found = 0, {}
+        for b in batches:
+            rows += b.num_rows
+            for i, column in enumerate(b.columns):
+                values = pc.unique(column).drop_null()
+                few = values.take(pc.bottom_k_unstable(values, k)).to_pylist() if len(values) else []
+                found[i] = sorted({*found.get(i, ()), *few}, key=str.encode)[:k]
+        n, part = len(found), TaskContext.get().partitionId() % _MERGERS
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(1, n + 1), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([rows] * n, pa.int64()), pa.array(list(found.values()), pa.list_(pa.string()))],
+            ["position", "part", "rows", "samples"])
+
+    return task
+
+
+_MERGERS = 64
+
+
 def schema_profile(df: DataFrame, table: str, samples: int = 3) -> DataFrame:
-    """Per column: type, rows of the table and up to three distinct filled values (the least ones).
+    """Per column: type, rows of the table and up to ``samples`` distinct filled values (the least ones).
 
-    The least values are found by repeated min over all columns at once, so the
-    distinct values of a column are never gathered.
+    One pass over all columns: every task keeps the least distinct values of each, and these few are merged in two steps, so
+    that neither the distinct values of a column nor the lists of all tasks are ever gathered.
     """
-    names = df.columns
-    value = {n: strip(F.col(f"`{n}`").cast("string")) for n in names}
-    total, floors, found = 0, {}, {n: [] for n in names}
-    for k in range(samples):
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        for i, n in enumerate(names):
-            v = value[n]
-            keep = v != ""
-            if k:
-                keep = keep & (v > F.lit(floors[n]))
-            aggs.append(F.min(F.when(keep, v)).alias(f"c{i}"))
-        row = df.agg(*aggs).first()
-        total = row["rows"]
-        for i, n in enumerate(names):
-            floors[n] = row[f"c{i}"]
-            if row[f"c{i}"] is not None:
-                found[n].append(row[f"c{i}"])
-    types = dict(df.dtypes)
-    rows = [(table, i + 1, n, types[n], total, found[n]) for i, n in enumerate(names)]
-    return df.sparkSession.createDataFrame(
-        rows, "table_name string, position int, column_name string, column_type string, rows long, samples array<string>"
-    )
+    spark, names = df.sparkSession, df.columns
+    texts = [F.nullif(strip(F.col(f"`{n}`").cast("string")), F.lit("")).alias(f"c{i}") for i, n in enumerate(names)]
+    parts = df.select(*texts).mapInArrow(_least_values(samples), "position int, part int, rows long, samples array<string>")
+
+    def merged(by: DataFrame, *keys: str) -> DataFrame:
+        least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("samples")))), 1, samples)
+        return by.groupBy(*keys).agg(F.sum("rows").alias("rows"), least.alias("samples"))
+
+    columns = spark.createDataFrame([(table, i, n, t) for i, (n, t) in enumerate(df.dtypes, 1)], "table_name string, position int, column_name string, column_type string")
+    found = merged(merged(parts, "position", "part"), "position")
+    return columns.join(found, "position", "left").select(
+        "table_name", "position", "column_name", "column_type", F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))

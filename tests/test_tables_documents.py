@@ -156,3 +156,26 @@ def test_quoted_cells_and_several_vendor_lists(spark, tmp_path):
         (tmp_path / "lists" / file).write_text("\n".join(names) + "\n")
     got = [r.name for r in S.scan_vendor_list(spark, str(tmp_path / "lists")).orderBy("pos").collect()]
     assert got == ["Zed", "Abe", "Moe", "Vendor Name"]
+
+
+def test_retrieval_only_without_an_answer(spark):
+    """No row, one row of nulls, and answers of one and of several rows; nothing of the other side comes along."""
+    from glassledger.operators import questions as Q
+
+    chunks = spark.createDataFrame([(1, "near"), (2, "far")], "rank int, text string")
+    ask = lambda rows, kind="a int, b string": sorted((r.source, r.rank, r.text) for r in Q.answer_or_retrieve(spark.createDataFrame(rows, kind), chunks).collect())
+    found = [("documents", 1, "near"), ("documents", 2, "far")]
+    assert ask([]) == found and ask([(None, None)]) == found
+    assert ask([(1, None)]) == [("tables", None, "1 | ")]
+    assert ask([(None, None), (None, None)]) == [("tables", None, " | ")] * 2
+
+
+def test_profile_of_all_columns_in_one_pass(spark):
+    from glassledger.operators.table_repair import schema_profile
+
+    rows = [(i, f" v{i % 7} ", None, "" if i % 2 else "x", [i]) for i in range(100)]
+    df = spark.createDataFrame(rows, "n int, `a b` string, none string, half string, list array<int>").repartition(9)
+    got = {r.column_name: (r.position, r.column_type, r.rows, r.samples) for r in schema_profile(df, "t").collect()}
+    assert got == {"n": (1, "int", 100, ["0", "1", "10"]), "a b": (2, "string", 100, ["v0", "v1", "v2"]), "none": (3, "string", 100, []),
+                   "half": (4, "string", 100, ["x"]), "list": (5, "array<int>", 100, ["[0]", "[10]", "[11]"])}
+    assert [(r.rows, r.samples) for r in schema_profile(df.limit(0), "t").collect()] == [(0, [])] * 5
