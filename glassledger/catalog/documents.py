@@ -10,7 +10,7 @@ from ..operators import chunks as C
 from ..operators import questions as Q
 from ..operators import retrieval as R
 from ..plans.adapters import document_pages, table
-from .sql import q, with_
+from .sql import bare, concat_nonempty, q, split_text, with_
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -82,12 +82,30 @@ def column_headers(spark, sf):
     return dated_pages(spark, sf).select("doc_id", "page", C.column_header(F.col("text")).alias("header"))
 
 
-@query("split_chunks")
+@query("split_chunks", "WITH RECURSIVE " + _PAGES.strip() + ",\n" + split_text("pg", C.SEPARATORS, C.CHUNK_SIZE, C.OVERLAP).strip() +
+       "\nSELECT doc_id, page, chunk_no, text FROM chunks")
 def split_chunks(spark, sf):
     return C.split_pages(document_pages(spark, sf), ["doc_id"])
 
 
-@query("context_chunks")
+_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {bare('x')}), lambda x: x <> '')"
+_CONTEXT = f"""
+fp AS (SELECT * FROM (SELECT doc_id, page, {bare('text')} AS text FROM dp) WHERE text <> ''),
+fl AS (SELECT *, {_LINES} AS f FROM fp),
+ti AS (SELECT doc_id, substr(array_to_string((arg_min(f, page))[1:3], ' | '), 1, 180) AS title FROM fl GROUP BY 1),
+he AS (SELECT doc_id, page, text, title, substr(coalesce(list_filter(list_transform(range(1, len(f) + 1), lambda i: CASE WHEN regexp_matches(coalesce(f[i + 1], ''), '^[\\d$(]')
+  AND regexp_matches(f[i], '{C.HEADER_WORDS}') AND regexp_matches(f[i], '\\S\\s+\\S') THEN f[i] END), lambda x: x IS NOT NULL)[1], ''), 1, 160) AS head
+  FROM fl LEFT JOIN ti USING (doc_id)),
+px AS (SELECT *, {concat_nonempty(' || ', ["nullif(title, '')", "nullif(head, '')"])} AS prefix FROM he),
+lp AS (SELECT doc_id, page, text FROM px WHERE length(text) > {C.WHOLE_PAGE}),
+{split_text('lp', C.SEPARATORS, C.CHUNK_SIZE, C.OVERLAP).strip()},
+ac AS (SELECT doc_id, page, prefix, 1 AS chunk_no, text FROM px WHERE length(text) <= {C.WHOLE_PAGE}
+  UNION ALL SELECT doc_id, page, prefix, chunk_no, chunks.text FROM chunks JOIN px USING (doc_id, page))
+SELECT doc_id, page, prefix, chunk_no, CASE WHEN prefix <> '' AND NOT contains(substr(text, 1, length(prefix) + 5), prefix)
+  THEN '[' || prefix || ']' || chr(10) || text ELSE text END AS text FROM ac"""
+
+
+@query("context_chunks", "WITH RECURSIVE " + _PAGES.strip() + ",\n" + _DATED.strip() + "," + _CONTEXT)
 def context_chunks(spark, sf):
     return C.context_chunks(dated_pages(spark, sf))
 

@@ -364,3 +364,46 @@ vl AS (SELECT min(p_partkey) AS pos, array_to_string(list_transform(string_split
   FROM part WHERE p_type IN ({", ".join(q(t) for t in KNOWN_TYPES)}) GROUP BY 2)
 """
 MATCHED_BASE = f"{TXN.strip()},\n{CLASSIFIED.strip()},\n{VENDOR_LIST.strip()},\n{MATCHED_NORM.strip()}"
+
+
+# --- text splitter -------------------------------------------------------------------
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def bare(x: str) -> str:
+    return f"trim({x}, {_BLANKS})"
+
+
+def _refined(src: str, dst: str, cut: str, size: int) -> str:
+    """Atoms over ``size`` give way to their parts; ``cut`` makes a list of the text ``a.text``."""
+    return f"""{dst} AS (SELECT doc_id, page, flatten(list_transform(atoms, lambda a, i: CASE WHEN length(a.text) > {size}
+    THEN list_transform(list_filter({cut}, lambda p: p <> ''), lambda p: {{'run': a.run || '.' || CAST(i AS VARCHAR), 'text': p}}) ELSE [a] END)) AS atoms FROM {src})"""
+
+
+def split_text(pages: str, separators, size: int, overlap: int) -> str:
+    """``chunks`` (doc_id, page, chunk_no, text) of the rows (doc_id, page, text) of ``pages``. For WITH RECURSIVE.
+
+    Atoms get prefix sums of their lengths; the next cut after an atom is then looked up, so that only cuts are walked through.
+    """
+    steps, src = [f"at0 AS (SELECT doc_id, page, [{{'run': '0', 'text': coalesce(text, '')}}] AS atoms FROM {pages})"], "at0"
+    for k, separator in enumerate(separators, 1):
+        pattern = "'(?s).*?(?:" + separator.replace(".", "[.]").replace("\n", "\\n") + "|\\z)'"
+        steps.append(_refined(src, f"at{k}", f"regexp_extract_all(a.text, {pattern})", size))
+        src = f"at{k}"
+    steps.append(_refined(src, "atb", f"list_transform(range(1, length(a.text) + 1, {size}), lambda b: substr(a.text, b, {size}))", size))
+    return ",\n".join(steps) + f""",
+ua AS (SELECT doc_id, page, unnest(atoms, recursive := true), generate_subscripts(atoms, 1) AS k FROM atb),
+ul AS (SELECT *, CASE WHEN run = lag(run) OVER w THEN 0 ELSE 1 END AS new_run, sum(length(text)) OVER w AS until FROM ua WINDOW w AS (PARTITION BY doc_id, page ORDER BY k)),
+us AS (SELECT *, sum(new_run) OVER (PARTITION BY doc_id, page ORDER BY k) AS seg, until - length(text) AS since FROM ul),
+nx AS (SELECT a.doc_id, a.page, a.k, max(b.k) + 1 AS after FROM us a JOIN us b
+  ON a.doc_id = b.doc_id AND a.page = b.page AND a.seg = b.seg AND b.k >= a.k AND b.until <= a.since + {size} GROUP BY ALL),
+starts AS (SELECT doc_id, page, k, after FROM nx WHERE k = 1 UNION ALL
+  SELECT nx.doc_id, nx.page, nx.k, nx.after FROM starts JOIN nx ON nx.doc_id = starts.doc_id AND nx.page = starts.page AND nx.k = starts.after),
+filled AS (SELECT s.doc_id, s.page, s.k, {bare("string_agg(text, '' ORDER BY us.k)")} AS text
+  FROM starts s JOIN us ON us.doc_id = s.doc_id AND us.page = s.page AND us.k >= s.k AND us.k < s.after GROUP BY ALL),
+numbered AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS chunk_no, text FROM filled WHERE text <> ''),
+chunks AS (SELECT * FROM numbered WHERE chunk_no = 1 UNION ALL
+  SELECT n.doc_id, n.page, n.chunk_no, {bare(f"right(c.text, {overlap}) || ' ' || n.text")}
+  FROM chunks c JOIN numbered n ON n.doc_id = c.doc_id AND n.page = c.page AND n.chunk_no = c.chunk_no + 1)
+"""
