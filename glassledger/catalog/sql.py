@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions.text import any_phrase, title
+from ..functions.text import one_of, title
 from ..operators.vendor_names import LEADING_REGEX, reason_of, suffix_regex
 from ..rules import eligibility as E
 from ..rules import ledger as L
@@ -239,7 +239,7 @@ _ELIG = [("government", E.GOVERNMENT), ("financial", E.FINANCIAL), ("shipping",
 def eligibility(name: str, src: str) -> str:
     whens = []
     for fam, words in _ELIG:
-        hit = f"regexp_matches(upper(canonical_name), {q(any_phrase(words))})"
+        hit = f"regexp_matches(upper(canonical_name), {q(one_of(words))})"
         if fam in ("medical", "cloud", "staffing"):
             whens.append(f"WHEN {hit} AND corp THEN '{fam}_corp'")
         whens.append(f"WHEN {hit} THEN '{fam}'")

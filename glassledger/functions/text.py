@@ -18,15 +18,6 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
-def phrase_regex(phrase: str) -> str:
-    """``LAW FIRM`` -> a whole-word regex; spaces stand for any run of blanks."""
-    return r"\b" + phrase.replace(" ", r"\s+") + r"\b"
-
-
-def any_phrase(phrases: Iterable[str]) -> str:
-    return one_of(phrase_regex(p) for p in phrases)
-
-
 def one_of(patterns: Iterable[str]) -> str:
     """Several regexes as one; those that start at a word boundary share it."""
     patterns = list(patterns)
@@ -76,13 +67,5 @@ def python_list(c: Column) -> Column:
     return F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
 
 
-def sql_quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def sql_regex_any(phrases: Iterable[str]) -> str:
-    return sql_quote(any_phrase(phrases))
-
-
 def title(s: str) -> str:
     return re.sub(r"[A-Za-z]+", lambda m: m.group(0).capitalize(), s)

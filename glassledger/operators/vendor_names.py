@@ -14,7 +14,7 @@ from ..functions.text import one_of, squeeze, strip
 from ..plans.joins import join_summary, measure_keys
 from ..rules import vendors as R
 
-LEADING_REGEX = r"(?i)^(?:\s*(?:" + "|".join(R.LEADING_DESCRIPTORS) + r")\s*[-–:]\s*)+"
+LEADING_REGEX = r"(?i)^(?:\s*(?:" + R.LEADING_DESCRIPTORS + r")\s*[-–:]\s*)+"
 BLOCK_NAMES = 256
 
 

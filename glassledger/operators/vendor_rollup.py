@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_phrase, contains_any, dollars, percent
+from ..functions.text import one_of, contains_any, dollars, percent
 from ..plans.joins import where_computed
 from ..rules import eligibility as E
 from ..rules import vendors as R
@@ -146,7 +146,7 @@ def eligibility_rule(name: Column, entity: Column, total: Column, confidence: Co
     upper = F.upper(name)
     rule = F.when(total < E.FILING_THRESHOLD, "below")
     for family, words in _FAMILIES:
-        hit = upper.rlike(any_phrase(words))
+        hit = upper.rlike(one_of(words))
         if family in ("medical", "cloud", "staffing"):
             rule = rule.when(hit & entity.isin(E.CORPORATE), f"{family}_corp")
         rule = rule.when(hit, family)

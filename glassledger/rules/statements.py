@@ -50,27 +50,28 @@ DEPOSIT_LIKE = [
     "interest earned", "interest paid", "wire in", "ach credit",
 ]
 
-_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-_AMOUNT = r"(-?[\d,]+\.\d{2})"
-_BALANCE = r"\s+\$?-?[\d,]+\.\d{2}\s*$"
 
 # fixed values: line shapes in the order they are tried;
 # (regex, group of date, group of description, group of amount)
 LINE_SHAPES = [
-    (r"^\s*(\d{1,2}/\d{1,2}/\d{2,4})\s+(.+?)\s+\$?" + _AMOUNT + _BALANCE, 1, 2, 3),
-    (r"^\s*(\d{1,2}/\d{1,2})\s+(.+?)\s+\$?" + _AMOUNT + _BALANCE, 1, 2, 3),
-    (r"^\s*(\d{4}-\d{1,2}-\d{1,2})\s+(.+?)\s+\$?" + _AMOUNT + _BALANCE, 1, 2, 3),
-    (r"^\s*(\d{1,2}/\d{1,2}/\d{2,4})\s+(.+?)\s+\$?" + _AMOUNT + r"\s*$", 1, 2, 3),
-    (r"^\s*(\d{1,2}/\d{1,2})\s+(.+?)\s+\$?" + _AMOUNT + r"\s*$", 1, 2, 3),
-    (r"^\s*(\d{4}-\d{1,2}-\d{1,2})\s+(.+?)\s+\$?" + _AMOUNT + r"\s*$", 1, 2, 3),
-    (r"^\s*(\d{1,2}/\d{1,2}/\d{2,4})\s+(.+?)\s{2,}\$?" + _AMOUNT + r"(?:\s+\$?-?[\d,]+\.\d{2})?\s*$", 1, 2, 3),
-    (r"^\s*(\d{1,2}/\d{1,2})\s+(.+?)\s{2,}\$?" + _AMOUNT + r"(?:\s+\$?-?[\d,]+\.\d{2})?\s*$", 1, 2, 3),
-    (r"(?i)^\s*((?:" + _MONTHS + r")\s+\d{1,2}(?:,\s*\d{4})?)\s+(.+?)\s+\$?" + _AMOUNT + r"\s*$", 1, 2, 3),
-    (r"(?i)^\s*(\d{1,2}\s+(?:" + _MONTHS + r")\s+\d{2,4})\s+(.+?)\s+\$?" + _AMOUNT + r"\s*$", 1, 2, 3),
+    (r"^\s*(\d{1,2}/\d{1,2}/\d{2,4})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s+\$?-?[\d,]+\.\d{2}\s*$", 1, 2, 3),
+    (r"^\s*(\d{1,2}/\d{1,2})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s+\$?-?[\d,]+\.\d{2}\s*$", 1, 2, 3),
+    (r"^\s*(\d{4}-\d{1,2}-\d{1,2})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s+\$?-?[\d,]+\.\d{2}\s*$", 1, 2, 3),
+    (r"^\s*(\d{1,2}/\d{1,2}/\d{2,4})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$", 1, 2, 3),
+    (r"^\s*(\d{1,2}/\d{1,2})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$", 1, 2, 3),
+    (r"^\s*(\d{4}-\d{1,2}-\d{1,2})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$", 1, 2, 3),
+    (r"^\s*(\d{1,2}/\d{1,2}/\d{2,4})\s+(.+?)\s{2,}\$?(-?[\d,]+\.\d{2})(?:\s+\$?-?[\d,]+\.\d{2})?\s*$", 1, 2, 3),
+    (r"^\s*(\d{1,2}/\d{1,2})\s+(.+?)\s{2,}\$?(-?[\d,]+\.\d{2})(?:\s+\$?-?[\d,]+\.\d{2})?\s*$", 1, 2, 3),
+    (r"(?i)^\s*((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}(?:,\s*\d{4})?)\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$", 1, 2, 3),
+    (r"(?i)^\s*(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{2,4})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$", 1, 2, 3),
     (r"^\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\s+(.+?)\s{2,}([\d,]+\.\d{2})\s+(?:[\d,]+\.\d{2}\s+)?[\d,]+\.\d{2}\s*$", 1, 2, 3),
     (r"^\s*(\d{1,2}/\d{1,2}(?:/\d{2,4})?)\s+\$?([\d,]+\.\d{2})\s+([A-Z].+?)\s*$", 1, 3, 2),
 ]
-WORKSHEET_LINE_SHAPES = LINE_SHAPES[3:6]
+WORKSHEET_LINE_SHAPES = [
+    (r"^\s*(\d{1,2}/\d{1,2}/\d{2,4})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$", 1, 2, 3),
+    (r"^\s*(\d{1,2}/\d{1,2})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$", 1, 2, 3),
+    (r"^\s*(\d{4}-\d{1,2}-\d{1,2})\s+(.+?)\s+\$?(-?[\d,]+\.\d{2})\s*$", 1, 2, 3),
+]
 
 # fixed values: lines that are headers, totals, page numbers or rules
 SKIP_LINES = [

@@ -1,15 +1,24 @@
 """Fixed values for turning statement descriptions into vendor names."""
 from __future__ import annotations
 
-# fixed values: leading descriptors, dropped only before a separator
-LEADING_DESCRIPTORS = [
-    r"ach\s+(?:payment|debit|credit|transfer)",
-    r"check\s*#?\s*\d*",
-    r"debit\s+card", r"credit\s+card", r"card",
-    r"customer\s+deposit(?:\s*-\s*invoice\s*\d*)?",
-    r"online\s+(?:bill\s+)?pay(?:ment)?", r"bill\s*pay",
-    r"wire(?:\s+transfer)?", r"eft", r"pos", r"electronic\s+payment", r"payment", r"deposit", r"withdrawal",
-]
+# fixed value: leading descriptors, dropped only before a separator
+LEADING_DESCRIPTORS = (
+    r"ach\s+(?:payment|debit|credit|transfer)|"
+    r"check\s*#?\s*\d*|"
+    r"debit\s+card|"
+    r"credit\s+card|"
+    r"card|"
+    r"customer\s+deposit(?:\s*-\s*invoice\s*\d*)?|"
+    r"online\s+(?:bill\s+)?pay(?:ment)?|"
+    r"bill\s*pay|"
+    r"wire(?:\s+transfer)?|"
+    r"eft|"
+    r"pos|"
+    r"electronic\s+payment|"
+    r"payment|"
+    r"deposit|"
+    r"withdrawal"
+)
 
 # fixed values: descriptions that are no vendor, first match names the reason
 NON_VENDOR = [
@@ -52,7 +61,10 @@ NOISE = [
     r"\bPAYPAL\s*\*", r"\bSQ\s*\*", r"\bPOS\b", r"\bACH\b", r"\bDEBIT\b", r"\bCREDIT\b",
     r"\bAUTOPAY\b", r"\bONLINE\b", r"\bPURCHASE\b", r"\bPMT\b",
 ]
-WORKSHEET_NOISE = NOISE[:11]
+WORKSHEET_NOISE = [
+    r"\*[A-Z0-9]{4,}", r"#\d+", r"\d{4,}", r"\.COM\b", r"\bMKTP\b", r"\bPAYPAL\s*\*", r"\bSQ\s*\*", r"\bPOS\b",
+    r"\bACH\b", r"\bDEBIT\b", r"\bCREDIT\b",
+]
 
 # fixed values: entity suffixes
 SUFFIXES = [
@@ -60,11 +72,14 @@ SUFFIXES = [
     "CO", "CO.", "COMPANY", "LTD", "LTD.", "LIMITED", "LP", "L.P.", "LLP", "PC", "P.C.", "PLLC",
     "NA", "N.A.", "FSB",
 ]
-WORKSHEET_SUFFIXES = SUFFIXES[:21]
+WORKSHEET_SUFFIXES = [
+    "LLC", "L.L.C.", "L.L.C", "INC", "INC.", "INCORPORATED", "CORP", "CORP.", "CORPORATION", "CO", "CO.", "COMPANY",
+    "LTD", "LTD.", "LIMITED", "LP", "L.P.", "LLP", "PC", "P.C.", "PLLC",
+]
 
 # fixed values: words kept in capitals in a display name
 KEEP_UPPER = ["LLC", "INC", "CORP", "CO", "LTD", "LP", "LLP", "PC", "PLLC", "USA", "US", "NA", "FSB", "ATM"]
-WORKSHEET_KEEP_UPPER = KEEP_UPPER[:11]
+WORKSHEET_KEEP_UPPER = ["LLC", "INC", "CORP", "CO", "LTD", "LP", "LLP", "PC", "PLLC", "USA", "US"]
 
 MATCH_THRESHOLD = 0.75
 REVIEW_THRESHOLD = 0.85
