@@ -141,6 +141,12 @@ def ledger_scored(spark, sf):
     return scored_by_z(spark, sf).select(*_SCORED)
 
 
+@query("ledger_by_score", _SCORED_WITH + "SELECT journal_ref, final_tier, anomaly_score FROM scored")
+def ledger_by_score(spark, sf):
+    """The whole ledger as it is written out, most anomalous rows first."""
+    return ledger.by_anomaly(scored_by_z(spark, sf)).select("journal_ref", "final_tier", "anomaly_score")
+
+
 _QUEUE = ["journal_ref", "account_name", "vendor", "abs_amount", "final_tier", "active_flags"]
 
 

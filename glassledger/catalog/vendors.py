@@ -17,6 +17,8 @@ from ..operators import vendor_rollup as V
 from ..plans.adapters import statement_rows, table
 from ..plans.consolidation import consolidate, normalised_rows, statement_vendors
 from ..rules import vendors as R
+from ..session import scratch_path
+from ..sources.tables import write_sheets
 from .sql import (BASE, CLASSIFIED, CROSS, FLAGS, KNOWN_TYPES, MATCHED_BASE, PRECLEAN, POOLED, SIMILAR, STATEMENT_VENDORS, TXN, concat_nonempty, dollars,
                   eligibility, percent, q, ratios, rollup, with_, worksheet_norm)
 
@@ -426,6 +428,60 @@ def consolidated_totals(spark, sf):
     return P.consolidated_totals(t, c.matches, c.mismatches, c.near_threshold).withColumn("total_reconciled", F.col("total_reconciled").cast("double"))
 
 
+@query("consolidated_totals_with_variants", "WITH RECURSIVE" + _SV.removeprefix("WITH") + CROSS.strip() + ",\n" + SIMILAR.strip() + ",\n" + POOLED.strip() + ",\n" + eligibility("pe", "pv").strip() + """
+SELECT count(*) AS vendor_count, CAST(sum(total_amount) AS DOUBLE) AS total_reconciled, count(*) FILTER (WHERE threshold_met) AS over_threshold,
+  count(*) FILTER (WHERE form_type <> 'EXEMPT') AS eligible_1099, count(*) FILTER (WHERE needs_review OR form_type = 'REVIEW') AS needs_review,
+  (SELECT count(*) FROM cm) AS cross_statement_vendors, (SELECT count(*) FROM cm WHERE crosses) AS combined_only_crossings,
+  (SELECT count(*) FROM mm) AS amount_mismatches, (SELECT count(*) FROM nt) AS near_threshold,
+  (SELECT count(DISTINCT (least(upper(name_a), upper(name_b)), greatest(upper(name_a), upper(name_b)))) FROM va) AS name_variant_flags FROM pe""")
+def consolidated_totals_with_variants(spark, sf):
+    """All ten counters of a run."""
+    c = consolidate(classified(spark, sf))
+    t = P.pooled_vendor_table(c.pooled, V.vendor_sources(c.rows))
+    totals = P.consolidated_totals(t, c.matches, c.mismatches, c.near_threshold, c.variants)
+    return totals.withColumn("total_reconciled", F.col("total_reconciled").cast("double"))
+
+
+_GOOD_SV = ("WITH " + BASE + "," + _STATUS_SQL.rstrip().rstrip(",") + ",\n" + rollup("sw", ["statement"]).strip() +
+            ",\nsv AS (SELECT sw.* FROM sw JOIN sts USING (statement) WHERE status <> 'failed_other'),\n")
+_GOOD = _GOOD_SV + CROSS.strip() + ",\n" + FLAGS.strip() + ",\n" + _REASONS.strip()
+
+
+@query("master_sheet_of_good_statements", _master_sheet(_GOOD, "rl").replace("1.0::DOUBLE AS extraction_confidence", "0.9::DOUBLE AS extraction_confidence"))
+def master_sheet_of_good_statements(spark, sf):
+    """Failed statements take no part in any finding."""
+    c = consolidate(classified(spark, sf), with_variants=False, statements=statement_frame(spark, sf))
+    return P.master_vendor_sheet(c.vendors, c.reasons).withColumn("total_paid", F.col("total_paid").cast("double"))
+
+
+@query("one_statement_findings", "WITH " + BASE + ",\n" + STATEMENT_VENDORS.strip() + """,
+one AS (SELECT * FROM sv WHERE statement = (SELECT min(statement) FROM sv))
+SELECT count(*) AS vendors, count(*) FILTER (WHERE total_amount BETWEEN 500 AND 700) * (count(DISTINCT statement) - 1) AS near_threshold,
+  0::BIGINT AS matches, 0::BIGINT AS mismatches FROM one""")
+def one_statement_findings(spark, sf):
+    """A run of a single statement: vendors, but nothing to compare, near-threshold totals included."""
+    rows = classified(spark, sf)
+    c = consolidate(rows.where(F.col("statement") == rows.agg(F.min("statement")).scalar()), with_variants=False)
+    n = lambda df, name: df.agg(F.count("*").alias(name)).scalar().alias(name)
+    return c.vendors.agg(F.count("*").alias("vendors")).select("vendors", n(c.near_threshold, "near_threshold"), n(c.matches, "matches"), n(c.mismatches, "mismatches"))
+
+
+@query("written_sheets", _ALL + """
+SELECT 'executive_summary' AS sheet, 1::BIGINT AS rows UNION ALL SELECT 'master_vendor_summary', count(*) FROM sv
+UNION ALL SELECT 'all_transactions', count(*) FROM norm UNION ALL SELECT 'amount_mismatches', count(*) FROM mm
+UNION ALL SELECT 'near_threshold', count(*) FROM nt""")
+def written_sheets(spark, sf):
+    """The sheets of a run written out, a folder each, and read back."""
+    c = consolidate(classified(spark, sf), with_variants=False)
+    sheets = {"executive_summary": P.executive_kpis(c.rows, c.vendors, c.reasons), "master_vendor_summary": P.master_vendor_sheet(c.vendors, c.reasons),
+              "all_transactions": P.transaction_sheet(c.rows), "amount_mismatches": P.mismatch_sheet(c.mismatches), "near_threshold": P.near_threshold_sheet(c.near_threshold)}
+    path = scratch_path(spark, "sheets")
+    write_sheets(sheets, path)
+    c.close()
+    back = [spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("sheet"), "rows") for name in sheets]
+    return reduce(DataFrame.unionByName, back)
+
+
 @query("executive_kpis", _ALL + """
 SELECT count(DISTINCT canonical_name) AS unique_vendors, CAST(sum(total_amount) AS DOUBLE) AS total_reconciled,
   count(*) FILTER (WHERE total_amount >= 600) AS over_600, (SELECT count(*) FROM norm WHERE NOT norm_excluded AND include_for_1099) AS included_payments,

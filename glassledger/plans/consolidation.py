@@ -31,6 +31,7 @@ class Consolidation:
     variants: DataFrame
     near_threshold: DataFrame
     pooled: DataFrame  # per vendor over all statements, with eligibility
+    excluded: DataFrame | None = None  # statements that failed, with the reason
 
     def close(self) -> None:
         self.vendors.unpersist()
@@ -46,14 +47,26 @@ def statement_vendors(rows: DataFrame, vendor_list: DataFrame | None = None) ->
     return X.rank_vendors(v.withColumn("statement_key", F.col("statement")))
 
 
-def consolidate(rows: DataFrame, vendor_list: DataFrame | None = None, with_variants: bool = True) -> Consolidation:
+def consolidate(
+    rows: DataFrame, vendor_list: DataFrame | None = None, with_variants: bool = True, statements: DataFrame | None = None
+) -> Consolidation:
     """``rows``: statement rows (statement, line_no, date_raw, description, amount, ...).
 
+    ``statements`` (statement, status, confidence, error_message) keeps failed statements, and those without a vendor, out of
+    the whole review; they are listed as ``excluded``. Without it every statement counts.
+
     The per-statement rollup feeds every finding, so it is kept (in memory or on
     disk, rebuilt from the rows if an executor is lost); release it with
     ``Consolidation.close``.
     """
-    vendors = statement_vendors(rows, vendor_list).persist()
+    vendors, excluded = statement_vendors(rows, vendor_list), None
+    if statements is not None:
+        found = vendors.groupBy("statement").agg(F.count("*").alias("vendor_count"))
+        known = statements.join(found, "statement", "left").withColumn("vendor_count", F.coalesce("vendor_count", F.lit(0)))
+        processed, excluded = X.split_statements(known)
+        vendors = with_extraction_confidence(vendors.join(processed.select("statement"), "statement", "left_semi"), statements)
+        rows = rows.join(processed.select("statement"), "statement", "left_semi")
+    vendors = vendors.persist()
     good = X.enough_statements(vendors)
     matches = X.cross_matches(good)
     mismatches = X.amount_mismatches(good)
@@ -74,4 +87,5 @@ def consolidate(rows: DataFrame, vendor_list: DataFrame | None = None, with_vari
         variants=variants,
         near_threshold=X.near_threshold_vendors(good, matches),
         pooled=V.classify_1099(V.roll_up_descriptions(fill_defaults(rows), vendor_list=vendor_list)),
+        excluded=excluded,
     )
