@@ -38,7 +38,7 @@ TOKENS = 128
 MISS = 0.07
 SMALL = 12
 STARS = 2
-STEPS = (1, 3, 4, 4, 4, 4, 4, 4, 4)
+STEPS = (1, 5, 7, 9, 9)
 
 
 def missed(similarity: float, again: float, trees: int, levels: int) -> float:
@@ -181,7 +181,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataF
                 linked.append(bool(both) and 100 * both >= similar * (na[i] + nb[i] - both))
             yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return with_both.mapInArrow(task, "a long, b long").distinct()
+    return with_both.mapInArrow(task, "a long, b long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -229,12 +229,11 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
         return keep(documents.join(near, "doc_id").select(F.col("doc_id").alias("doc"), "text").distinct(), "texts")
 
     def test(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Compares the pairs not compared before; the components that all links so far give."""
-        pairs = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, pairs.distinct()), "pairs")
-        tested.append(pairs)
-        close = keep(likely(pairs, reps, similar), "close")
+        """Confirms the likely pairs not confirmed before; the components that all links so far give."""
+        likely_pairs = likely(pairs.distinct(), reps, similar)
+        close = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, likely_pairs), "close")
+        tested.append(close)
         links = keep(confirm(close, texts, similar), "links")
-        forget(close)
         if labels is not None and not links.take(1):
             return labels
         if labels is not None:

@@ -1,6 +1,8 @@
 """Tables written between jobs, in the folder that all executors share."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +38,55 @@ def forget(*tables: DataFrame | None) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def _stars(batches):
+    """The edges of a task, some at a time, as stars: every id tied to the smallest that it reaches through them, in both directions."""
+    for rows in blocks(batches):
+        ids, ends = np.unique(np.concatenate([rows.column(c).to_numpy() for c in ("v", "m")]), return_inverse=True)
+        a, b = np.split(ends, 2)
+        top = np.arange(len(ids))
+        while True:
+            x, y = top[a], top[b]
+            if (x == y).all():
+                break
+            np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+            while (top != top[top]).any():
+                top = top[top]
+        low = top < np.arange(len(ids))
+        v, m = ids[low], ids[top[low]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, m])), pa.array(np.concatenate([m, v]))], ["v", "m"])
+
+
+def blocks(batches, rows: int = 1 << 20):
+    """The batches of a task, put together up to so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _settled(now: DataFrame) -> bool:
+    """Whether every component is one star: nothing is tied twice, and what others are tied to is tied to nothing."""
+    ends = now.select(F.col("v").alias("id"), F.lit(1).alias("_tied"), F.lit(0).alias("_top")).unionByName(now.select(F.col("m").alias("id"), F.lit(0).alias("_tied"), F.lit(1).alias("_top")))
+    ends = ends.groupBy("id").agg(F.sum("_tied").alias("_tied"), F.max("_top").alias("_top"))
+    return not ends.where(F.col("_tied") + F.col("_top") > 1).take(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of an edge (a, b) reaches.
 
-    Edges are contracted: in turn, every id ties its larger neighbours to its smallest one (large star), then itself and its
-    smaller neighbours to the smallest (small star), until each component is one star. The rounds grow with the logarithm of
-    the longest path, whatever the order of its ids, and no edge is added. A hub is many partial minima, and its join is
-    split by adaptive execution. Each table goes as soon as its successor is written.
+    Edges are contracted: every task turns the edges it holds into stars; then, in turn, every id ties its larger neighbours to
+    its smallest one (large star), then itself and its smaller neighbours to the smallest (small star), until each component is one star.
+    The rounds grow with the logarithm of the longest path, whatever the order of its ids, and no edge is added. A hub is many partial
+    minima, and its join is split by adaptive execution. Each table goes as soon as its successor is written.
     """
-    now, mark = keep(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "edges"), None
+    now = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m")
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
-        both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
+        both = now.mapInArrow(_stars, "v long, m long")
         least = both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least"))
         large = both.where("m > v").join(least, "v").select(F.col("m").alias("v"), F.col("least").alias("m"))
         large = keep(large.where("v <> m").distinct(), "edges")
@@ -60,6 +96,8 @@ def components(edges: DataFrame) -> DataFrame:
         ties = small.select("v", F.col("least").alias("m")).unionByName(small.select(F.col("m").alias("v"), F.col("least").alias("m")))
         now = keep(ties.where("v <> m").distinct(), "edges")
         forget(large)
+        if _settled(now):
+            break
     tops = now.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct()
     labels = now.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(tops)
     labels._kept_path = now._kept_path
