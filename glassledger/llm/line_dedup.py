@@ -8,7 +8,7 @@ a word go when an equal one appears earlier; without it they are not looked at.
 
 Each distinct line of l code points is cut into ``EDITS + 1`` segments. Of two lines within the bound the longer one holds
 some segment of the other unchanged, at one of a few places that follow from both lengths; these substrings are the
-probes. Two lines that meet are a candidate only if the classes of letters that they hold an odd number of times differ in
+probes. All keys of a line come from one pass over it (sums of its bytes by place). Two lines that meet are a candidate only if the classes of letters that they hold an odd number of times differ in
 ``2 * EDITS`` at most, which no pair within the bound fails. Candidates are verified by an automaton that runs over the ``2 * EDITS + 1`` diagonals of the band as bits, for many pairs at once.
 The texts of candidates are fetched through a filter of ``FILTER`` cells at most, the only thing that is broadcast.
 
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glassledger.llm.store import keep
-from glassledger.llm.words import runs
+from glassledger.llm.words import mix, runs
 
 EDITS = 2
 MIN_CHARS = 20
 FILTER = 1 << 18
+_ODD = 0x9E3779B97F4A7C15
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -38,51 +39,67 @@ def all_lines(documents: DataFrame, min_chars: int = MIN_CHARS, short_repeats: b
     return lines.where(long | F.col("line").rlike(WORD) if short_repeats else long)
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Place (from 0) and size of segment i of a line; the last ones are longer by one where it does not divide."""
+def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place (from 0) and size of segment i of lines; the last ones are longer by one where it does not divide."""
     parts = edits + 1
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    return base * i + F.greatest(F.lit(0), F.lit(i - parts) + longer), base + (F.lit(i) >= F.lit(parts) - longer).cast("int")
-
-
-def index_keys(line: Column, edits: int = EDITS) -> list[Column]:
-    n = F.char_length(line)
-    out = []
-    for i in range(edits + 1):
-        at, size = _segment(n, i, edits)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size)))
-    return out
-
-
-def probe_keys(line: Column, edits: int = EDITS) -> list[Column]:
-    """(key, shorter) of substrings that may be segments of a line shorter by 0 to ``edits``; a null key where the place lies outside."""
-    n = F.char_length(line)
-    out = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            at, size = _segment(n - less, i, edits)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                start = at + shift
-                inside = (start >= 0) & (start + size <= n)
-                key = F.when(inside, F.xxhash64(n - less, F.lit(i), F.substring(line, start + 1, size)))
-                out.append(F.struct(key.alias("key"), F.lit(less > 0).alias("shorter")))
-    return out
-
-
-def with_letters(lines: DataFrame) -> DataFrame:
-    """line, letters: bit k tells whether the code points of class k are odd in number. An edit turns two bits at most."""
+    base, longer = length // parts, length % parts
+    return base * i + np.maximum(0, i - parts + longer), base + (i >= parts - longer)
+
+
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, its segment, how far it may have moved), those of equal length first."""
+    return [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+
+
+class _Parts:
+    """Hashes of any part of many lines, each by two lookups in the sums of bytes times powers of one odd number."""
+
+    def __init__(self, texts):
+        data, head = texts.data, (texts.data & 0xC0) != 0x80
+        points = np.append(0, np.cumsum(head))
+        self.byte = np.append(np.flatnonzero(head), len(data))
+        self.first, self.length = points[texts.offsets[:-1]], np.diff(points[texts.offsets])
+        value = mix(np.arange(256, dtype=np.uint64), 71)[data]
+        up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(data), x, np.uint64))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+        self.sums, self.down = np.append(np.uint64(0), np.cumsum(value * up[:-1], dtype=np.uint64)), down
+
+    def key(self, length: np.ndarray, i: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The key of a part that is segment i of a line of such a length."""
+        begin, end = (self.byte[self.first + np.clip(x, 0, self.length)] for x in (start, start + size))
+        part = (self.sums[end] - self.sums[begin]) * self.down[begin]
+        return mix(part ^ mix(length.astype(np.uint64) * np.uint64(64) + np.uint64(i), 73), 79).view(np.int64)
+
+
+def _letters(texts) -> np.ndarray:
+    """Bit k tells whether the code points of class k are odd in number. An edit turns two bits at most."""
+    data = texts.data
+    follows = np.append(data[1:], np.uint8(0)).astype(np.uint32)
+    kind = (data + np.where(data >= 0xC0, 7 * follows, 0)) % 31
+    bits = np.zeros(len(data) + 1, np.int32)
+    bits[1:] = np.where((data & 0xC0) != 0x80, np.left_shift(1, kind), 0)
+    odd = np.bitwise_xor.accumulate(bits)
+    return odd[texts.offsets[1:]] ^ odd[texts.offsets[:-1]]
+
+
+def segment_keys(lines: DataFrame, edits: int = EDITS, probe: bool = False) -> DataFrame:
+    """code, letters, keys of lines (code, line): of their segments or, for a probe, of the parts that may be segments of lines shorter by 0 to
+    ``edits`` (``probe_places``; null where the place lies outside)."""
+    places = probe_places(edits) if probe else [(0, i, 0) for i in range(edits + 1)]
+
     def task(batches):
         for rows, texts in runs(batches):
-            data = texts.data
-            follows = np.append(data[1:], np.uint8(0)).astype(np.uint32)
-            kind = (data + np.where(data >= 0xC0, 7 * follows, 0)) % 31
-            bits = np.zeros(len(data) + 1, np.int32)
-            bits[1:] = np.where((data & 0xC0) != 0x80, np.left_shift(1, kind), 0)
-            odd = np.bitwise_xor.accumulate(bits)
-            yield pa.RecordBatch.from_arrays([rows.column("text"), pa.array(odd[texts.offsets[1:]] ^ odd[texts.offsets[:-1]])], ["line", "letters"])
+            parts = _Parts(texts)
+            keys, none = np.empty((texts.rows, len(places)), np.int64), np.zeros((texts.rows, len(places)), bool)
+            for k, (less, i, shift) in enumerate(places):
+                at, size = _segment(parts.length - less, i, edits)
+                keys[:, k] = parts.key(parts.length - less, i, at + shift, size)
+                none[:, k] = (at + shift < 0) | (at + shift + size > parts.length)
+            cut = np.arange(texts.rows + 1, dtype=np.int32) * len(places)
+            yield pa.RecordBatch.from_arrays([rows.column("code"), pa.array(_letters(texts)), pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.ravel(), mask=none.ravel()))],
+                                             ["code", "letters", "keys"])
 
-    return lines.select(F.col("line").alias("text")).mapInArrow(task, "line string, letters int")
+    return lines.select("code", F.col("line").alias("text")).mapInArrow(task, "code long, letters int, keys array<long>")
 
 
 def within(first: list[str], second: list[str], edits: int = EDITS) -> np.ndarray:
@@ -138,10 +155,11 @@ def _verify(edits: int):
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): the codes of distinct lines within the bound, a < b."""
-    distinct = with_letters(lines.select("line").distinct()).withColumn("code", F.xxhash64("line"))
-    index = distinct.select(F.col("code").alias("a"), "letters", F.explode(F.array(*index_keys(F.col("line"), edits))).alias("key"))
-    probe = distinct.select(F.col("code").alias("b"), F.col("letters").alias("other"), F.explode(F.array(*probe_keys(F.col("line"), edits))).alias("probe"))
-    probe = probe.where(F.col("probe.key").isNotNull()).select("b", "other", "probe.key", "probe.shorter")
+    distinct = lines.select("line").distinct().select(F.xxhash64("line").alias("code"), "line")
+    index = segment_keys(distinct, edits).select(F.col("code").alias("a"), "letters", F.explode("keys").alias("key"))
+    equal = sum(less == 0 for less, _, _ in probe_places(edits))
+    probe = segment_keys(distinct, edits, probe=True).select(F.col("code").alias("b"), F.col("letters").alias("other"), F.posexplode("keys").alias("_place", "key"))
+    probe = probe.where(F.col("key").isNotNull()).select("b", "other", "key", (F.col("_place") >= equal).alias("shorter"))
     close = F.bit_count(F.col("letters").bitwiseXOR(F.col("other"))) <= 2 * edits
     # lines of one length probe each other: one of the two ways is enough
     met = index.join(probe, "key").where(close & ((F.col("a") < F.col("b")) | (F.col("shorter") & (F.col("a") != F.col("b")))))
