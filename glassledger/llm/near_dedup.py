@@ -262,12 +262,14 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
         labels = test(pairs, texts)
         if not more or step == len(steps):
             break
-        # nodes whose documents are all connected by now end here, the others branch again
-        joined = large.select("node", "doc").join(_with_components(reps, labels).select("doc", "comp", "tokens"), "doc")
-        mixed = joined.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("_mixed")).where("_mixed").select("node")
-        rows = joined.join(mixed, "node", "left_semi").mapInArrow(_branch(steps[step], again), kind)
+        # nodes whose components are all one by now end here; the documents of the others are labelled anew and branch again
+        renamed = large.select("node", F.col("comp").alias("id")).distinct().join(labels, "id", "left").select("node", F.coalesce("component", "id").alias("comp"))
+        mixed = renamed.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("_mixed")).where("_mixed").select("node")
+        still = large.select("node", "doc").join(mixed, "node", "left_semi")
+        rows = still.join(_with_components(reps, labels).select("doc", "comp", "tokens"), "doc").mapInArrow(_branch(steps[step], again), kind)
+        rows = keep(rows, "rows")
         before, sized = sized, keep(_sized(rows), "nodes")
-        forget(before)
+        forget(before, rows)
     forget(sized, texts)
     member = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     member = member.select("digest", F.coalesce("component", "rep").alias("_component"))
