@@ -12,7 +12,7 @@ its documents) has just those compared. Nodes still large and mixed after the la
 are compared in full. Pairs that agree in fewer than ``fewest_common`` tokens are passed over (pairs at the bound do so with
 a probability of 0.0003); the others are confirmed on their full sets. A pair right at the bound misses all its first choices
 with probability 0.15^24 (bound 0.85) or less; in large groups of barely similar texts it may part in all the paths it shares. All trees
-choose among the same tokens, so ``missed`` averages over the number that agree: 0.001 after 11 levels below the root, 0.015 after 19, 0.069 after all 31
+choose among the same tokens, so ``missed`` averages over the number that agree: 0.001 after 11 levels below the root, 0.015 after 19, 0.064 after all 30
 (0.002 at 0.90 under the bound of 0.85). The number of trees is the least that keeps the last figure under ``MISS`` for any bound.
 
 Result: doc_id, n_shingles, component_id, kept. Null or empty text: an empty set, linked with nothing. Null doc_id: no node of
