@@ -26,7 +26,8 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glassledger.llm.store import components, forget, keep
@@ -114,34 +115,33 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _branch(levels: int, again: float, first: bool = False):
-    """From (node, doc, tokens) rows to those of the nodes so many levels below. At a root both choices are taken."""
+    """From (doc, comp, tokens, nodes) rows, one a document, to the (node, doc, comp) rows of the nodes so many levels below.
+
+    At a root both choices are taken. The nodes of a batch are taken some at a time, so that memory does not grow with them."""
     def task(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            node, at = batch.column("node").to_numpy().view(np.uint64), np.arange(batch.num_rows)
-            for _ in range(levels):
-                place = mix(node, 51) % np.uint64(TOKENS)
-                more = first | (mix(node, 52) < np.uint64(int(again * 2.0 ** 64)))
-                other = (place + np.uint64(1) + mix(node, 53) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)  # never the same
-                place = np.concatenate([place, other[more]])
-                node, at = np.concatenate([node, node[more]]), np.concatenate([at, at[more]])
-                node = mix(mix(node, 57) ^ (place << np.uint64(32)) ^ tokens[at, place.astype(np.int64)], 59)
-            kept = [name for name in batch.schema.names if name not in ("node", "tokens")]
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(batch.column(name).take(pa.array(at)) for name in kept)], ["node", *kept])
+            nodes = batch.column("nodes")
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(nodes).to_numpy(zero_copy_only=False))
+            nodes = nodes.flatten().to_numpy().view(np.uint64)
+            for begin in range(0, len(nodes), 1 << 15):
+                node, at = nodes[begin:begin + (1 << 15)], owner[begin:begin + (1 << 15)]
+                for _ in range(levels):
+                    place = mix(node, 51) % np.uint64(TOKENS)
+                    more = first | (mix(node, 52) < np.uint64(int(again * 2.0 ** 64)))
+                    other = (place + np.uint64(1) + mix(node, 53) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)  # never the same
+                    place = np.concatenate([place, other[more]])
+                    node, at = np.concatenate([node, node[more]]), np.concatenate([at, at[more]])
+                    node = mix(mix(node, 57) ^ (place << np.uint64(32)) ^ tokens[at, place.astype(np.int64)], 59)
+                of = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(batch.column(c).take(of) for c in ("doc", "comp"))], ["node", "doc", "comp"])
 
     return task
 
 
-def _roots(trees: int):
-    def task(batches):
-        for batch in batches:
-            for tree in range(trees):
-                root = np.full(batch.num_rows, mix(np.array([tree], np.uint64), 61)[0]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(root), *batch.columns], ["node", *batch.schema.names])
-
-    return task
+def _roots(trees: int) -> Column:
+    """The roots of so many trees, the same for every document."""
+    return F.array(*(F.lit(int(r)) for r in mix(np.arange(trees, dtype=np.uint64), 61).view(np.int64)))
 
 
 def fewest_common(similar: int) -> int:
@@ -222,7 +222,6 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens", "low")
     tested: list[DataFrame] = []
     labels = None
-    kind = "node long, doc long, comp long"
 
     def texts_of_nodes(nodes: DataFrame) -> DataFrame:
         near = nodes.select(F.col("doc").alias("doc_id")).distinct()
@@ -242,16 +241,15 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
         forget(labels)
         return new
 
-    def below(docs: DataFrame, of: int, levels: int) -> DataFrame:
-        roots = docs.select("doc", "comp", "tokens").mapInArrow(_roots(of), "node long, doc long, comp long, tokens binary")
-        return roots.mapInArrow(_branch(levels, again, True), kind)
+    def below(docs: DataFrame, nodes: Column, levels: int, first: bool = False) -> DataFrame:
+        return docs.select("doc", "comp", "tokens", nodes.alias("nodes")).mapInArrow(_branch(levels, again, first), "node long, doc long, comp long")
 
     # a first look: the nodes of a few trees, all compared with their smallest document, connect what is plainly alike
-    sized = keep(_sized(below(_with_components(reps, None), STARS, 1)), "nodes")
+    sized = keep(_sized(below(_with_components(reps, None), _roots(STARS), 1, True)), "nodes")
     texts = texts_of_nodes(sized)
     labels = test(_star_pairs(sized), texts)
     forget(sized, texts)
-    sized = keep(_sized(below(_with_components(reps, labels), trees, steps[0])), "nodes")
+    sized = keep(_sized(below(_with_components(reps, labels), _roots(trees), steps[0], True)), "nodes")
     texts = texts_of_nodes(sized)
     for step in range(1, len(steps) + 1):
         large = sized.where("not done")
@@ -262,10 +260,13 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
         labels = test(pairs, texts)
         if not more or step == len(steps):
             break
-        # nodes whose documents are all connected by now end here, the others branch again
-        joined = large.select("node", "doc").join(_with_components(reps, labels).select("doc", "comp", "tokens"), "doc")
-        mixed = joined.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("_mixed")).where("_mixed").select("node")
-        rows = joined.join(mixed, "node", "left_semi").mapInArrow(_branch(steps[step], again), kind)
+        # Nodes whose documents are all connected by now end here, the others branch again. A document comes with the list of
+        # its nodes (as many as the trees and levels give, whatever the data), so components and tokens are joined once a document.
+        now = _with_components(large.groupBy("doc").agg(F.collect_list("node").alias("nodes")), labels)
+        now = now.select("doc", "comp", F.explode("nodes").alias("node"))
+        mixed = now.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("_mixed")).where("_mixed").select("node")
+        left = now.join(mixed, "node", "left_semi").groupBy("doc").agg(F.min("comp").alias("comp"), F.collect_list("node").alias("nodes"))
+        rows = below(left.join(reps.select("doc", "tokens"), "doc"), F.col("nodes"), steps[step])
         before, sized = sized, keep(_sized(rows), "nodes")
         forget(before)
     forget(sized, texts)
