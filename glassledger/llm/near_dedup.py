@@ -260,13 +260,10 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
         labels = test(pairs, texts)
         if not more or step == len(steps):
             break
-        # Nodes whose documents are all connected by now end here, the others branch again. A document comes with the list of
-        # its nodes (as many as the trees and levels give, whatever the data), so components and tokens are joined once a document.
-        now = _with_components(large.groupBy("doc").agg(F.collect_list("node").alias("nodes")), labels)
-        now = now.select("doc", "comp", F.explode("nodes").alias("node"))
-        mixed = now.groupBy("node").agg((F.min("comp") < F.max("comp")).alias("_mixed")).where("_mixed").select("node")
-        left = now.join(mixed, "node", "left_semi").groupBy("doc").agg(F.min("comp").alias("comp"), F.collect_list("node").alias("nodes"))
-        rows = below(left.join(reps.select("doc", "tokens"), "doc"), F.col("nodes"), steps[step])
+        # Large nodes branch again; _sized drops those below them whose documents are all connected by now. A document comes with the
+        # list of its nodes (as many as the trees and levels give, whatever the data), so components and tokens are joined once a document.
+        left = large.groupBy("doc").agg(F.collect_list("node").alias("nodes"))
+        rows = below(left.join(_with_components(reps, labels).select("doc", "comp", "tokens"), "doc"), F.col("nodes"), steps[step])
         before, sized = sized, keep(_sized(rows), "nodes")
         forget(before)
     forget(sized, texts)
