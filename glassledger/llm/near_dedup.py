@@ -5,7 +5,7 @@ document goes down independent trees. A root chooses two of the ``TOKENS`` minwi
 node one, and a second with such a probability that it makes 1 / bound on average (``branching``): documents of less than that
 similarity part on the way down, others stay together. Each token chosen names a child. Nodes of up to ``SMALL`` documents are
 compared exhaustively; larger ones branch again, by several levels a job (``STEPS``). Before that, the nodes of the first ``STARS``
-trees, and at every step all large nodes, compare their documents with their smallest one. Rows go down the trees
+trees compare their documents with their smallest one, and at every step all large nodes those outside their largest connected part with one inside. Rows go down the trees
 with the component known so far, and nodes whose documents are
 all connected are done: whatever links they hold join nothing new; a node with few pairs left open (``SMALL`` for each of
 its documents) has just those compared. Nodes still large and mixed after the last step
@@ -185,14 +185,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataF
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """node, doc, comp, least, major, done: the rows of nodes whose documents are not all connected yet.
+    """node, doc, comp, least, major, hub, done: the rows of nodes whose documents are not all connected yet.
 
+    The hub is a document of the largest part, drawn by a hash, so that each node of a large group offers another one.
     A node is done with when the pairs not yet connected number SMALL for each of its documents at most."""
-    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("_n"), F.min("doc").alias("_low"))
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("_n"), F.min("doc").alias("_low"), F.min_by("doc", F.xxhash64("node", "doc")).alias("_hub"))
     nodes = (parts.groupBy("node").agg(F.sum("_n").alias("_size"), F.sum(F.col("_n") * F.col("_n")).alias("_squares"), F.min("_low").alias("least"),
-                                       F.max(F.struct("_n", "comp")).alias("_most"), F.count("*").alias("_parts")).where(F.col("_parts") > 1))
+                                       F.max(F.struct("_n", "comp", "_hub")).alias("_most"), F.count("*").alias("_parts")).where(F.col("_parts") > 1))
     open_pairs = (F.col("_size") * F.col("_size") - F.col("_squares")) / 2
-    nodes = nodes.select("node", "least", F.col("_most.comp").alias("major"), (open_pairs <= SMALL * F.col("_size")).alias("done"))
+    nodes = nodes.select("node", "least", F.col("_most.comp").alias("major"), F.col("_most._hub").alias("hub"), (open_pairs <= SMALL * F.col("_size")).alias("done"))
     return rows.join(nodes, "node")
 
 
@@ -210,10 +211,16 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"))
 
 
-def _star_pairs(rows: DataFrame) -> DataFrame:
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    """Nothing is connected yet: a node's smallest document meets all the others."""
     return rows.where(F.col("doc") > F.col("least")).select(F.col("least").alias("a"), F.col("doc").alias("b"))
 
 
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """The documents outside a node's largest part meet its hub; those inside are connected with it already."""
+    return rows.where(F.col("comp") != F.col("major")).select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+
+
 def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[int, ...] = STEPS) -> DataFrame:
     documents, (again, trees) = documents.select("doc_id", "text"), branching(similar)
     sketched = keep(sketches(documents), "sketch")
@@ -247,7 +254,7 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
     # a first look: the nodes of a few trees, all compared with their smallest document, connect what is plainly alike
     sized = keep(_sized(below(_with_components(reps, None), _roots(STARS), 1, True)), "nodes")
     texts = texts_of_nodes(sized)
-    labels = test(_star_pairs(sized), texts)
+    labels = test(_first_pairs(sized), texts)
     forget(sized, texts)
     sized = keep(_sized(below(_with_components(reps, labels), _roots(trees), steps[0], True)), "nodes")
     texts = texts_of_nodes(sized)
