@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stored import stored
 from ..rules import ledger as R
 from .ledger import contamination, raw_tier, tier_cuts
 
@@ -230,6 +231,7 @@ def score_with_forest(
 ) -> DataFrame:
     """Adds ``anomaly_score`` (lower is worse), ``anomaly_label`` and ``raw_tier``."""
     share = contamination(sensitivity)
+    df = stored(df, "signals")  # read by the fit and, once scored, by each report
     counts = feature_counts(df).persist()
     try:
         total = counts.agg(F.sum("n")).first()[0] or 0

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
-from ..plans.joins import join_summary, measure_keys, where_computed
+from ..plans.joins import join_summary, summary_size, where_computed
 from ..plans.quantiles import interpolated_quantiles
+from ..plans.stored import stored
 from ..rules import ledger as R
 
 UNKNOWN_VENDOR = "UNKNOWN"
@@ -89,12 +90,13 @@ def add_signals(df: DataFrame) -> DataFrame:
     """Six signals on a clean ledger, plus their counts.
 
     Account and vendor statistics are aggregated first and joined back, so a
-    single huge account or vendor never has to sit in one window partition.
+    single huge account or vendor never has to sit in one window partition. Both
+    summaries are written once; their sizes come from them, not from the ledger.
     """
     keyed = df.withColumn("_vendor_key", F.coalesce("vendor", F.lit(UNKNOWN_VENDOR)))
-    size = measure_keys(keyed, {"account": F.col("account_name"), "vendor": F.col("_vendor_key")})
-    out = join_summary(keyed, account_stats(df), "account_name", size["account"])
-    out = join_summary(out, vendor_counts(df), "_vendor_key", size["vendor"])
+    accounts, vendors = stored(account_stats(df), "accounts"), stored(vendor_counts(df), "vendors")
+    out = join_summary(keyed, accounts, "account_name", summary_size(accounts, "account_name"))
+    out = join_summary(out, vendors, "_vendor_key", summary_size(vendors, "_vendor_key"))
     z = (
         F.when(F.col("account_name").isNull(), F.lit(None).cast("double"))
         .when(F.coalesce(F.col("_std"), F.lit(0.0)) == 0, F.lit(0.0))
