@@ -141,6 +141,7 @@ def raw_tier(score: Column, high_cut: float | None, medium_cut: float | None) ->
 
 
 def with_raw_tier(df: DataFrame, sensitivity: str | None = None, score: str = "anomaly_score") -> DataFrame:
+    df = stored(df, "scored")  # the cuts need a pass of their own, and each report is another
     high, medium = tier_cuts(df, contamination(sensitivity), score)
     return df.withColumn("raw_tier", raw_tier(F.col(score), high, medium))
 

@@ -172,3 +172,13 @@ def test_account_statistics_do_not_depend_on_partitioning(spark):
     for a in ("a0", "a1", "a2"):
         values = [v for name, v in rows if name == a]
         assert stats[a] == pytest.approx((statistics.fmean(values), statistics.pstdev(values)), rel=1e-12)
+
+
+def test_signals_are_worked_out_once(gl):
+    """Summaries are written before the join and signals before the tiers: no later pass starts from the ledger again."""
+    signals = ledger.add_signals(ledger.clean_ledger(gl))
+    assert len(signals.inputFiles()) >= 2
+    by_z = ledger.with_raw_tier(signals.withColumn("anomaly_score", -F.abs("amount_zscore_by_account")))
+    for scored in (forest.score_with_forest(signals), by_z):
+        assert scored.inputFiles() and "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+        assert scored.count() == gl.count()
