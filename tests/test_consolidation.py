@@ -129,3 +129,15 @@ def test_spellings_merge_across_descriptors(spark):
                    "Shell Oil": Decimal("78.50"), "City Of Portland": Decimal("150.00")}
     assert sum(got.values()) == Decimal("4030.87")
     assert sum(v >= 600 for v in got.values()) == 2
+
+
+def test_rows_are_written_once(spark):
+    """The rollups read the written rows; a column without a type comes back as it was."""
+    rows = classify_rows(spark.createDataFrame([("june", i, d, t, Decimal(str(a))) for i, (d, t, a) in enumerate(JUNE[1:])], TXN)).withColumn("memo", F.lit(None))
+    statements = rows.select("statement").distinct().select("statement", F.lit("success").alias("status"), F.lit(0.9).alias("confidence"), F.lit("").alias("error_message"))
+    for c in (consolidate(rows, with_variants=False), consolidate(rows, with_variants=False, statements=statements)):
+        assert c.rows.inputFiles() and c.pooled.inputFiles()
+        assert c.rows.schema["memo"].dataType.typeName() == "void" and c.rows.count() == rows.count()
+        c.close()
+    rollup = V.roll_up_descriptions(fill_defaults(rows), ["statement"], spark.createDataFrame([(1, "Greenleaf Nursery")], "pos long, name string"))
+    assert rollup.inputFiles() and rollup.where("canonical_name = 'Greenleaf Nursery'").count() == 1
