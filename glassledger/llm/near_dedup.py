@@ -9,8 +9,9 @@ trees compare their documents with their smallest one, and at every step all lar
 with the component known so far, and nodes whose documents are
 all connected are done: whatever links they hold join nothing new; a node with few pairs left open (``SMALL`` for each of
 its documents) has just those compared. Nodes still large and mixed after the last step
-are compared in full. Pairs that agree in fewer than ``fewest_common`` tokens are passed over (pairs at the bound do so with
-a probability of 0.0003); the others are confirmed on their full sets. A pair right at the bound misses all its first choices
+are compared in full. Documents meet with the parities of their shingles by ``64 * ODD`` hash values; two sets differ in as many shingles at least
+as in parities, so a pair that differs in too many for the bound is no link and leaves the join that it met in (``may_link``, exact). Pairs that agree in fewer than ``fewest_common`` tokens are passed over (pairs at the bound do so with
+a probability of 0.0003); the others are confirmed on their full sets, and only their texts are read again. A pair right at the bound misses all its first choices
 with probability 0.15^24 (bound 0.85) or less; in large groups of barely similar texts it may part in all the paths it shares. All trees
 choose among the same tokens, so ``missed`` averages over the number that agree: 0.001 after 11 levels below the root, 0.015 after 19, 0.064 after all 30
 (0.002 at 0.90 under the bound of 0.85). The number of trees is the least that keeps the last figure under ``MISS`` for any bound.
@@ -36,6 +37,7 @@ from glassledger.llm.words import Texts, grams, lower_ascii, map_texts, mix, run
 SHINGLE = 5
 SIMILAR = 85
 TOKENS = 128
+ODD = 16
 MISS = 0.07
 SMALL = 12
 STARS = 2
@@ -96,22 +98,29 @@ def _tokens(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64 * ODD bits of each set: whether the shingles of a hash value are odd in number."""
+    out, place = np.zeros((len(n), ODD), np.uint64), mix(codes, 41)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(n)), n), (place >> np.uint64(6)) % np.uint64(ODD)), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest and its minwise tokens."""
+    """doc_id, n_shingles, the set's 128-bit digest, its minwise tokens and its parities."""
     def task(rows, texts):
         codes, n = shingles(texts)
         some = np.flatnonzero(n)
         starts = (np.cumsum(n) - n)[some]
-        tokens, low, digests = ([None] * texts.rows for _ in range(3))
+        tokens, odd, digests = ([None] * texts.rows for _ in range(3))
         if len(some):
-            wide, sums = _tokens(codes, starts), [np.add.reduceat(mix(codes, s), starts) for s in (31, 37)]
+            wide, bits, sums = _tokens(codes, starts), _parities(codes, n[some]), [np.add.reduceat(mix(codes, s), starts) for s in (31, 37)]
             for i, k in enumerate(some):
                 tokens[k] = wide[i].tobytes()
-                low[k] = wide[i].astype(np.uint8).tobytes()
+                odd[k] = bits[i]
                 digests[k] = sums[0][i].tobytes() + sums[1][i].tobytes()
-        return {"doc_id": rows.column("doc_id"), "n_shingles": n, "digest": pa.array(digests, pa.binary()), "tokens": pa.array(tokens, pa.binary()), "low": pa.array(low, pa.binary())}
+        return {"doc_id": rows.column("doc_id"), "n_shingles": n, "digest": pa.array(digests, pa.binary()), "tokens": pa.array(tokens, pa.binary()), "odd": pa.array(odd, pa.list_(pa.int64()))}
 
-    return map_texts(documents.select("doc_id", "text"), task, "doc_id long, n_shingles long, digest binary, tokens binary, low binary")
+    return map_texts(documents.select("doc_id", "text"), task, "doc_id long, n_shingles long, digest binary, tokens binary, odd array<long>")
 
 
 def _branch(levels: int, again: float, first: bool = False):
@@ -150,16 +159,35 @@ def fewest_common(similar: int) -> int:
     return int(TOKENS * s - 3.5 * (TOKENS * s * (1 - s)) ** 0.5)
 
 
+def may_link(similar: int) -> Column:
+    """Whether the sets (n_a, odd_a) and (n_b, odd_b) may be similar enough: no link fails.
+
+    Of n_a + n_b = n shingles, linked sets have n * (100 - similar) / (100 + similar) in one of them only at most."""
+    room = (100 - similar) * (F.col("n_a") + F.col("n_b"))
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(ODD)))
+    return ((100 + similar) * F.abs(F.col("n_a") - F.col("n_b")) <= room) & ((100 + similar) * apart <= room)
+
+
+def _end(reps: DataFrame, end: str) -> DataFrame:
+    return reps.select(F.col("doc").alias(end), F.col("n").alias(f"n_{end}"), F.col("odd").alias(f"odd_{end}"))
+
+
+def alike(pairs: DataFrame, reps: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs that ``may_link``."""
+    with_a, b = pairs.distinct().join(_end(reps, "a"), "a"), _end(reps, "b").withColumnRenamed("b", "_b")
+    return with_a.join(b, (F.col("b") == F.col("_b")) & may_link(similar)).select("a", "b")
+
+
 def likely(pairs: DataFrame, reps: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs that agree in enough of their tokens (one byte of each is looked at)."""
-    low = lambda end: reps.select(F.col("doc").alias(end), F.col("low").alias(f"low_{end}"))
+    tokens = lambda end: reps.select(F.col("doc").alias(end), F.col("tokens").alias(f"tokens_{end}"))
     fewest = fewest_common(similar)
-    met = pairs.join(low("a"), "a").join(low("b"), "b").select("a", "b", "low_a", "low_b")
+    met = pairs.join(tokens("a"), "a").join(tokens("b"), "b").select("a", "b", "tokens_a", "tokens_b")
 
     def task(batches):
         for rows in batches:
             if rows.num_rows:
-                a, b = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in ("low_a", "low_b"))
+                a, b = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, TOKENS) for c in ("tokens_a", "tokens_b"))
                 yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= fewest))
 
     return met.mapInArrow(task, "a long, b long")
@@ -204,11 +232,17 @@ def _with_components(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return docs.join(labels.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of a node that are not connected: those outside its largest part meet all the others."""
-    minor = rows.where(F.col("comp") != F.col("major")).select("node", F.col("doc").alias("x"), F.col("comp").alias("_x"))
-    met = minor.join(rows.select("node", "doc", "comp", "major"), "node").where((F.col("comp") != F.col("_x")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("doc"))))
-    return met.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"))
+def _open_pairs(rows: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
+    """Of all pairs of a node that are not connected, those that ``may_link``: the documents outside its largest part meet all the others.
+
+    Sizes and parities are joined once a document, to the list of its nodes."""
+    nodes = rows.groupBy("doc").agg(F.collect_set(F.struct("node", "comp", "major")).alias("nodes"))
+    rows = nodes.join(reps.select("doc", "n", "odd"), "doc").select("doc", "n", "odd", F.explode("nodes").alias("at")).select("at.*", "doc", "n", "odd")
+    minor = rows.where(F.col("comp") != F.col("major")).select("node", F.col("doc").alias("a"), F.col("comp").alias("_a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    every = rows.select(F.col("node").alias("_node"), F.col("doc").alias("b"), "comp", "major", F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
+    still = (F.col("comp") != F.col("_a")) & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("b")))
+    met = minor.join(every, (F.col("node") == F.col("_node")) & still & may_link(similar))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
@@ -224,22 +258,29 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[int, ...] = STEPS) -> DataFrame:
     documents, (again, trees) = documents.select("doc_id", "text"), branching(similar)
     sketched = keep(sketches(documents), "sketch")
-    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("low").alias("low"))
+    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("n_shingles").alias("n"), F.min("odd").alias("odd"))
     classes = keep(classes, "classes")
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens", "low")
+    of_class = keep(sketched.select("doc_id", "n_shingles", "digest"), "of-class")
+    forget(sketched)
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens", "n", "odd")
     tested: list[DataFrame] = []
     labels = None
 
-    def texts_of_nodes(nodes: DataFrame) -> DataFrame:
-        near = nodes.select(F.col("doc").alias("doc_id")).distinct()
-        return keep(documents.join(near, "doc_id").select(F.col("doc_id").alias("doc"), "text").distinct(), "texts")
+    def texts_of_ends(pairs: DataFrame) -> DataFrame:
+        ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        texts = keep(documents.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").distinct(), "texts")
+        forget(ends)
+        return texts
 
-    def test(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Confirms the likely pairs not confirmed before; the components that all links so far give."""
-        likely_pairs = likely(pairs.distinct(), reps, similar)
-        close = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, likely_pairs), "close")
+    def test(pairs: DataFrame) -> DataFrame:
+        """Confirms the likely pairs, of those that ``may_link``, not confirmed before; the components that all links so far give."""
+        close = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, likely(pairs.distinct(), reps, similar)), "close")
         tested.append(close)
+        if labels is not None and not close.take(1):
+            return labels
+        texts = texts_of_ends(close)
         links = keep(confirm(close, texts, similar), "links")
+        forget(texts)
         if labels is not None and not links.take(1):
             return labels
         if labels is not None:
@@ -253,18 +294,17 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
 
     # a first look: the nodes of a few trees, all compared with their smallest document, connect what is plainly alike
     sized = keep(_sized(below(_with_components(reps, None), _roots(STARS), 1, True)), "nodes")
-    texts = texts_of_nodes(sized)
-    labels = test(_first_pairs(sized), texts)
-    forget(sized, texts)
+    labels = test(alike(_first_pairs(sized), reps, similar))
+    forget(sized)
     sized = keep(_sized(below(_with_components(reps, labels), _roots(trees), steps[0], True)), "nodes")
-    texts = texts_of_nodes(sized)
     for step in range(1, len(steps) + 1):
         large = sized.where("not done")
         more = large.limit(1).count() > 0
-        pairs = _open_pairs(sized.where("done"))
-        if more:
-            pairs = pairs.unionByName(_open_pairs(large) if step == len(steps) else _star_pairs(large))
-        labels = test(pairs, texts)
+        if more and step < len(steps):
+            pairs = _open_pairs(sized.where("done"), reps, similar).unionByName(alike(_star_pairs(large), reps, similar))
+        else:
+            pairs = _open_pairs(sized, reps, similar)
+        labels = test(pairs)
         if not more or step == len(steps):
             break
         # Large nodes branch again; _sized drops those below them whose documents are all connected by now. A document comes with the
@@ -273,9 +313,9 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
         rows = below(left.join(_with_components(reps, labels).select("doc", "comp", "tokens"), "doc"), F.col("nodes"), steps[step])
         before, sized = sized, keep(_sized(rows), "nodes")
         forget(before)
-    forget(sized, texts)
+    forget(sized)
     member = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     member = member.select("digest", F.coalesce("component", "rep").alias("_component"))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(member, "digest", "left")
+    out = of_class.join(member, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("_component")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

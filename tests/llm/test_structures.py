@@ -165,3 +165,63 @@ def test_recall_in_a_large_group_of_barely_similar_texts(spark):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
     joined = [i for i, (_, c) in want.items() if c != i]
     assert len(joined) > 200 and sum(got[i] == want[i][1] for i in joined) >= 0.9 * len(joined)
+
+
+def around(base, changes, n, seed):
+    """n texts, each with some words of one base replaced."""
+    draw, out = random.Random(seed), []
+    for i in range(n):
+        words = list(base)
+        for at in draw.sample(range(len(base)), draw.choice(changes)):
+            words[at] = f"x{draw.randrange(10**6)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_pairs_that_differ_too_much_leave_their_join(spark, monkeypatch):
+    """250 texts of a large group, pairs of some 0.65 to 0.80 but for a few links: hardly another pair gets past its join, and only the texts of these are read."""
+    from test_llm import brute_links
+
+    texts = around([f"b{i}" for i in range(200)], (3, 4), 250, 9)
+    texts += [(1000 + i, t + " end") for i, t in texts[:20]]
+    met, read = [], []
+    likely, confirm = near_dedup.likely, near_dedup.confirm
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return likely(pairs, *rest)
+
+    def watched(pairs, texts, *rest):
+        read.append({r.doc for r in texts.collect()} == {x for r in pairs.collect() for x in (r.a, r.b)})
+        return confirm(pairs, texts, *rest)
+
+    monkeypatch.setattr(near_dedup, "likely", counted)
+    monkeypatch.setattr(near_dedup, "confirm", watched)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute_links(texts)
+    assert read and all(read) and sum(met) <= 3 * len(texts)
+
+
+def test_may_link_passes_every_link(spark):
+    """Pairs at any similarity, sets of 1 to some 6,000 shingles: what links passes, and what is far apart does not."""
+    from pyspark.sql import functions as F
+
+    long = [f"w{i}" for i in range(6000)]
+    texts = around([f"b{i}" for i in range(120)], (0, 1, 2, 3, 6, 12), 40, 3) + [(100 + i, t) for i, t in around(long, (0, 30, 90, 150), 10, 4)]
+    texts += [(200, "one"), (201, "one two"), (202, "one one"), (203, "x " * 50), (204, "X " * 50 + "y")]
+    from test_llm import WORD
+
+    def shingles(t):
+        w = WORD.findall(t.lower())
+        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    sets = {i: shingles(t) for i, t in texts}
+    df = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+    reps = near_dedup.sketches(df).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "odd")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    for similar in (50, 80, 85, 99):
+        links = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])}
+        got = {(r.a, r.b) for r in near_dedup.alike(spark.createDataFrame(pairs, "a long, b long"), reps, similar).collect()}
+        assert links <= got and len(got) < len(pairs) / 2
+        assert not any(100 * len(sets[a] & sets[b]) < (similar - 25) * len(sets[a] | sets[b]) for a, b in got if b < 100)
