@@ -35,8 +35,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (``SIMILAR`` hundredths of their shingles or more) the document of the smallest doc_id stays."""
     ship_package(spark)
-    kept = near_duplicates(docs, SIMILAR).where("kept").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_semi")
+    judged = near_duplicates(docs, SIMILAR).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("kept").alias("_kept"))
+    gone = keep(judged.where(~F.col("_kept")).select("_doc"), "near-copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

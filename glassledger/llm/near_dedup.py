@@ -274,7 +274,11 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
 
     def test(pairs: DataFrame) -> DataFrame:
         """Confirms the likely pairs, of those that ``may_link``, not confirmed before; the components that all links so far give."""
-        close = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, likely(pairs.distinct(), reps, similar)), "close")
+        # written, so that their number is known: the few sketches they need are taken from the others without a shuffle
+        pairs = keep(pairs.distinct(), "pairs")
+        near = keep(reps.select("doc", "tokens").join(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc", "left_semi"), "ends")
+        close = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, likely(pairs, near, similar)), "close")
+        forget(pairs, near)
         tested.append(close)
         if labels is not None and not close.take(1):
             return labels
