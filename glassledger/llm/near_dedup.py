@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glassledger.llm.store import components, forget, keep
+from glassledger.llm.store import components, forget, in_tasks, keep
 from glassledger.llm.words import Texts, grams, lower_ascii, map_texts, mix, runs, texts_of
 
 SHINGLE = 5
@@ -179,7 +179,7 @@ def alike(pairs: DataFrame, reps: DataFrame, similar: int = SIMILAR) -> DataFram
 
 
 def likely(pairs: DataFrame, reps: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The pairs that agree in enough of their tokens (one byte of each is looked at)."""
+    """The pairs, a written table, that agree in enough of their tokens (one byte of each is looked at)."""
     tokens = lambda end: reps.select(F.col("doc").alias(end), F.col("tokens").alias(f"tokens_{end}"))
     fewest = fewest_common(similar)
     met = pairs.join(tokens("a"), "a").join(tokens("b"), "b").select("a", "b", "tokens_a", "tokens_b")
@@ -190,11 +190,11 @@ def likely(pairs: DataFrame, reps: DataFrame, similar: int = SIMILAR) -> DataFra
                 a, b = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, TOKENS) for c in ("tokens_a", "tokens_b"))
                 yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= fewest))
 
-    return met.mapInArrow(task, "a long, b long")
+    return in_tasks(met, pairs.count()).mapInArrow(task, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b), a written table, whose full sets are similar enough."""
     with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("doc").alias("a"), "text"), "a").select("a", "b", "text", "text_b")
 
@@ -209,7 +209,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataF
                 linked.append(bool(both) and 100 * both >= similar * (na[i] + nb[i] - both))
             yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return with_both.mapInArrow(task, "a long, b long")
+    return in_tasks(with_both, pairs.count()).mapInArrow(task, "a long, b long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
     documents, (again, trees) = documents.select("doc_id", "text"), branching(similar)
     sketched = keep(sketches(documents), "sketch")
     classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("n_shingles").alias("n"), F.min("odd").alias("odd"))
-    classes = keep(classes, "classes")
+    classes = keep(in_tasks(classes, sketched.count()), "classes")
     of_class = keep(sketched.select("doc_id", "n_shingles", "digest"), "of-class")
     forget(sketched)
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc"), "tokens", "n", "odd")
@@ -267,15 +267,18 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
     labels = None
 
     def texts_of_ends(pairs: DataFrame) -> DataFrame:
-        ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-        texts = keep(documents.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").distinct(), "texts")
+        ends = keep(in_tasks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), 2 * pairs.count()), "ends")
+        texts = documents.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text").distinct()
+        texts = keep(in_tasks(texts, ends.count()), "texts")
         forget(ends)
         return texts
 
-    def test(pairs: DataFrame) -> DataFrame:
-        """Confirms the likely pairs, of those that ``may_link``, not confirmed before; the components that all links so far give."""
+    def test(pairs: DataFrame, met: DataFrame) -> DataFrame:
+        """Confirms the likely pairs, of those that ``may_link``, not confirmed before; the components that all links so far give.
+
+        The pairs are those of the node rows ``met``; they are few for them, as hardly one may link."""
         # written, so that their number is known: the few sketches they need are taken from the others without a shuffle
-        pairs = keep(pairs.distinct(), "pairs")
+        pairs = keep(in_tasks(pairs.distinct(), met.count()), "pairs")
         near = keep(reps.select("doc", "tokens").join(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc", "left_semi"), "ends")
         close = keep(reduce(lambda p, t: p.join(t, ["a", "b"], "left_anti"), tested, likely(pairs, near, similar)), "close")
         forget(pairs, near)
@@ -296,26 +299,30 @@ def near_duplicates(documents: DataFrame, similar: int = SIMILAR, steps: tuple[i
     def below(docs: DataFrame, nodes: Column, levels: int, first: bool = False) -> DataFrame:
         return docs.select("doc", "comp", "tokens", nodes.alias("nodes")).mapInArrow(_branch(levels, again, first), "node long, doc long, comp long")
 
+    def written(rows: DataFrame, number: float) -> DataFrame:
+        return keep(in_tasks(_sized(rows), ceil(number)), "nodes")
+
+    number = reps.count()
     # a first look: the nodes of a few trees, all compared with their smallest document, connect what is plainly alike
-    sized = keep(_sized(below(_with_components(reps, None), _roots(STARS), 1, True)), "nodes")
-    labels = test(alike(_first_pairs(sized), reps, similar))
+    sized = written(below(_with_components(reps, None), _roots(STARS), 1, True), number * STARS * 2)
+    labels = test(alike(_first_pairs(sized), reps, similar), sized)
     forget(sized)
-    sized = keep(_sized(below(_with_components(reps, labels), _roots(trees), steps[0], True)), "nodes")
+    sized = written(below(_with_components(reps, labels), _roots(trees), steps[0], True), number * trees * 2 ** steps[0])
     for step in range(1, len(steps) + 1):
         large = sized.where("not done")
-        more = large.limit(1).count() > 0
+        more = large.count()
         if more and step < len(steps):
             pairs = _open_pairs(sized.where("done"), reps, similar).unionByName(alike(_star_pairs(large), reps, similar))
         else:
             pairs = _open_pairs(sized, reps, similar)
-        labels = test(pairs)
+        labels = test(pairs, sized)
         if not more or step == len(steps):
             break
         # Large nodes branch again; _sized drops those below them whose documents are all connected by now. A document comes with the
         # list of its nodes (as many as the trees and levels give, whatever the data), so components and tokens are joined once a document.
         left = large.groupBy("doc").agg(F.collect_list("node").alias("nodes"))
         rows = below(left.join(_with_components(reps, labels).select("doc", "comp", "tokens"), "doc"), F.col("nodes"), steps[step])
-        before, sized = sized, keep(_sized(rows), "nodes")
+        before, sized = sized, written(rows, more * (1 + again) ** steps[step])
         forget(before)
     forget(sized)
     member = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")

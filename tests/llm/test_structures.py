@@ -225,3 +225,43 @@ def test_may_link_passes_every_link(spark):
         got = {(r.a, r.b) for r in near_dedup.alike(spark.createDataFrame(pairs, "a long, b long"), reps, similar).collect()}
         assert links <= got and len(got) < len(pairs) / 2
         assert not any(100 * len(sets[a] & sets[b]) < (similar - 25) * len(sets[a] | sets[b]) for a, b in got if b < 100)
+
+
+def test_few_rows_take_few_tasks(spark, monkeypatch):
+    """90 shuffle partitions that nothing puts together: no table written on the way has more files than two a core, links stay the same."""
+    from pathlib import Path
+
+    from glassledger.llm import store
+    from test_llm import brute_links
+
+    texts = around([f"b{i}" for i in range(200)], (1, 2, 3), 120, 5) + [(1000 + i, f"{i} " * 3 + f"some words of text {i // 2} and {i // 2}") for i in range(80)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    files, keep = {}, store.keep
+
+    def counted(rows, label):
+        table = keep(rows, label)
+        files[label] = max(files.get(label, 0), len(list(Path(table._kept_path.removeprefix("file:")).glob("*.parquet"))))
+        return table
+
+    monkeypatch.setattr(store, "keep", counted)
+    monkeypatch.setattr(near_dedup, "keep", counted)
+    held = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_links(texts)
+    assert {"classes", "nodes", "pairs", "edges"} <= set(files) and 0 < max(files.values()) <= 2 * spark.sparkContext.defaultParallelism, files
+
+
+def test_tasks_grow_with_the_rows(spark):
+    """As many tasks as the rows need, up to the partitions there are."""
+    from glassledger.llm.store import ROWS, in_tasks
+
+    df, least = spark.range(0, 1000, 1, 64), 2 * spark.sparkContext.defaultParallelism
+    assert [in_tasks(df, n).rdd.getNumPartitions() for n in (0, 1000, (least + 9) * ROWS, 10 ** 9)] == [least, least, least + 9, 64]
+    assert in_tasks(df, 0).count() == 1000
